@@ -22,9 +22,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Materialise ``df`` reliably (it survives the loss of executors) and forget its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    """Materialise ``df`` reliably (it survives the loss of executors) and forget its lineage.
+
+    A checkpointed plan still carries the constraints of the plan it came from; over the rounds of
+    a loop they grow exponentially in the driver. The result is therefore read through a plain
+    scan of the checkpointed rows, which has none.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    kept = df.checkpoint(eager=eager)._jdf
+    rows = kept.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept.schema(), False), spark)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
