@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("accounts", "posts")
+MODULES = ("accounts", "behaviour", "posts", "documents")
 
 
 def queries() -> dict:
