@@ -37,7 +37,7 @@ class ContentModel:
     decay: float = 2e-5
     bias: float = -4.0
     trust: float = 0.97  # share of labels taken to be right
-    max_labels: int = 20000
+    max_labels: int = 10000
     flag: float = 0.5
     seed: int = 11
 
@@ -63,32 +63,42 @@ def fit(texts: list[str], labels: list[bool], cfg: ContentModel) -> np.ndarray:
     if not any(labels) or all(labels):
         w[-1] = -30.0
         return w
-    docs = [sentences(t) for t in texts]
-    use = [i for i, d in enumerate(docs) if d]
-    sents = [s for i in use for s in docs[i]]
-    off, idx = features(sents, cfg.bits)
-    size = np.array([len(docs[i]) for i in use])
-    at = np.concatenate([[0], np.cumsum(size)])
-    y = np.where(np.array(labels, bool)[use], cfg.trust, 1 - cfg.trust)
+    # per document: offsets of its sentences and their feature indices; featurised in small blocks
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    right: list[bool] = []
+    for lo in range(0, len(texts), cfg.batch):
+        docs = [sentences(t) for t in texts[lo : lo + cfg.batch]]
+        flat = [s for d in docs for s in d]
+        if not flat:
+            continue
+        off, idx = features(flat, cfg.bits)
+        at = 0
+        for d, bad in zip(docs, labels[lo : lo + cfg.batch], strict=True):
+            if d:
+                o = off[at : at + len(d) + 1]
+                kept.append(((o - o[0]).astype(np.int32), idx[o[0] : o[-1]].copy()))
+                right.append(bad)
+                at += len(d)
+    y = np.where(np.array(right, bool), cfg.trust, 1 - cfg.trust)
     rng = np.random.default_rng(cfg.seed)
     m, v = np.zeros_like(w), np.zeros_like(w)
     step = 0
-    epochs = max(cfg.epochs, -(-cfg.min_steps * cfg.batch // len(use)))
+    epochs = max(cfg.epochs, -(-cfg.min_steps * cfg.batch // max(1, len(kept))))
     for epoch in range(epochs):
         rate = cfg.rate * (1 - epoch / epochs)
-        order = rng.permutation(len(use))
+        order = rng.permutation(len(kept))
         for k in range(0, len(order), cfg.batch):
             pick = order[k : k + cfg.batch]
-            rows = np.concatenate([np.arange(at[i], at[i + 1]) for i in pick])
-            n = off[rows + 1] - off[rows]
-            feat = idx[np.repeat(off[rows] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+            feat = np.concatenate([kept[i][1] for i in pick])
+            n = np.concatenate([np.diff(kept[i][0]) for i in pick])
+            size = np.array([len(kept[i][0]) - 1 for i in pick])
             local = np.concatenate([[0], np.cumsum(n)])
             p = _sigmoid(_logits(w, local, feat))
-            first = np.concatenate([[0], np.cumsum(size[pick])[:-1]])
+            first = np.concatenate([[0], np.cumsum(size)[:-1]])
             stay = np.exp(np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-7)), first))
             doc = np.clip(1 - stay, 1e-7, 1 - 1e-7)
             # d loss / d logit of a sentence: p * (1 - y / P) of its document
-            g = p * np.repeat(1 - y[pick] / doc, size[pick]) / len(pick)
+            g = p * np.repeat(1 - y[pick] / doc, size) / len(pick)
             grad = np.bincount(feat, weights=np.repeat(g / np.sqrt(np.maximum(1, n)), n), minlength=len(w)).astype(np.float32)
             grad[-1] = g.sum()
             step += 1
