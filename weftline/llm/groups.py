@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.components import propagate
 from weftline.plans.lineage import cut
 
 
@@ -73,18 +74,3 @@ def connected_groups(links: DataFrame, a: str, b: str, tail: float = 0.05, min_l
         labels = labels.join(inner, "vertex", "left_anti")
     done = giant.unionByName(labels)
     return done.unionByName(loops.join(done.select("vertex"), "vertex", "left_anti"))
-
-
-def propagate(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Minimum labels over mirrored edges (a, b); ``labels`` maps vertex to a vertex of the edges."""
-    while not edges.isEmpty():
-        to = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m"))
-        to = cut(to)
-        for _ in range(2):  # pointers to pointers
-            up = to.select(F.col("v").alias("m"), F.col("m").alias("mm"))
-            to = to.join(up, "m").select("v", F.col("mm").alias("m"))
-        to = cut(to)
-        labels = cut(labels.join(to.select(F.col("v").alias("group_id"), "m"), "group_id", "left").select("vertex", F.coalesce("m", "group_id").alias("group_id")))
-        ta, tb = to.select(F.col("v").alias("a"), F.col("m").alias("ma")), to.select(F.col("v").alias("b"), F.col("m").alias("mb"))
-        edges = cut(edges.join(ta, "a").join(tb, "b").select(F.col("ma").alias("a"), F.col("mb").alias("b")).where(F.col("a") != F.col("b")).distinct())
-    return labels
