@@ -91,7 +91,9 @@ def _keys(cfg: NearDuplicates):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, off, h in shingle_sets(_texts(b)[0], cfg.width, cfg.min_words):
-                keys, cls = block_keys(off, h, cfg.blocks, cfg.rows), class_ids(off, h).view(np.int64)
+                # copies within a slice are one class: a text that fills the corpus is sent once a slice
+                cls, first = np.unique(class_ids(off, h).view(np.int64), return_index=True)
+                keys = block_keys(off, h, cfg.blocks, cfg.rows)[first]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).reshape(-1)), pa.array(np.repeat(cls, cfg.blocks))], names=["key", "cls"])
 
     return run
@@ -101,11 +103,12 @@ def _sets(cfg: NearDuplicates, wanted: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, off, h in shingle_sets(_texts(b)[0], cfg.width, cfg.min_words):
-                cls = class_ids(off, h)
+                cls, first = np.unique(class_ids(off, h), return_index=True)
                 bit = (cls % _U(BITS)).astype(np.int64)
                 hit = np.flatnonzero((wanted[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
-                for i in hit:
-                    yield pa.RecordBatch.from_arrays([pa.array([cls[i]]).view(pa.int64()), pa.array([h[off[i] : off[i + 1]].view(np.int64)], pa.list_(pa.int64()))], names=["cls", "vals"])
+                if len(hit):
+                    vals = [h[off[i] : off[i + 1]].view(np.int64) for i in first[hit]]
+                    yield pa.RecordBatch.from_arrays([pa.array(cls[hit].view(np.int64)), pa.array(vals, pa.list_(pa.int64()))], names=["cls", "vals"])
 
     return run
 
@@ -127,6 +130,8 @@ def near_duplicate_classes(docs: DataFrame, key: Column, text: Column, cfg: Near
     meta = cut(docs.mapInArrow(_meta(cfg), "id string, cls long, n int, s0 long, s1 long, s2 long, s3 long"))
     facts = meta.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3")])
     keys = docs.select("id", "text").mapInArrow(_keys(cfg), "key long, cls long")
+    # one row per block and class before blocks are joined; it takes no shuffle beyond that by block
+    keys = keys.repartition(F.col("key")).groupBy("key", "cls").agg(F.lit(1).alias("one")).drop("one")
     k1, k2 = keys.toDF("key", "a"), keys.toDF("key", "b")
     near = k1.join(k2, "key").where(F.col("a") < F.col("b")).select("a", "b")
     fa = facts.toDF("a", "na", "a0", "a1", "a2", "a3")
