@@ -52,69 +52,117 @@ def _encoder(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    bpe = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: bpe.encode_to_numpy(text, disallowed_special=())
+
+
+def _place(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts in a row, and where each text starts."""
+    lens = np.array([len(t) for t in texts], np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return points, np.concatenate([[0], np.cumsum(lens)])
+
+
+def _ends(points: np.ndarray, starts: np.ndarray, mean: int, longest: int) -> np.ndarray:
+    """End positions of the chunks of texts laid in a row: where the hash of the last WINDOW
+    characters of a text has enough zero bits, and at the latest ``longest`` after the last cut."""
+    code = mix(points.astype(np.uint64) + _U(1))
+    picked = np.zeros(0, np.int64)
+    if len(code) >= WINDOW:
+        h = code[: len(code) - WINDOW + 1].copy()
+        for k in range(1, WINDOW):
+            h = mix(h * _U(0xD1342543DE82EF95) + code[k : k + len(h)])
+        picked = np.flatnonzero((h & _U(mean - 1)) == 0)
+        # the whole window lies in one text
+        picked = picked[np.searchsorted(starts, picked, "right") == np.searchsorted(starts, picked + WINDOW - 1, "right")] + WINDOW
+    ends = np.union1d(picked, starts[1:])
+    gaps = np.diff(np.concatenate([[0], ends]))
+    if len(gaps) and gaps.max() > longest:
+        more = [np.arange(e - g + longest, e, longest) for e, g in zip(ends[gaps > longest], gaps[gaps > longest], strict=True)]
+        ends = np.union1d(ends, np.concatenate(more))
+    return ends
 
 
 def cuts(text: str, mean: int, longest: int) -> list[int]:
-    """End positions of the chunks of a text: where the hash of the last WINDOW characters has
-    enough zero bits, and at the latest ``longest`` after the last cut."""
-    n = len(text)
-    if n <= WINDOW:
-        return [n]
-    code = mix(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + _U(1))
-    h = code[: n - WINDOW + 1].copy()
-    for k in range(1, WINDOW):
-        h = mix(h * _U(0xD1342543DE82EF95) + code[k : k + len(h)])
-    picked = np.flatnonzero((h & _U(mean - 1)) == 0) + WINDOW
-    out, last = [], 0
-    for p in [*picked.tolist(), n]:
-        while p - last > longest:
-            last += longest
-            out.append(last)
-        if p > last:
-            out.append(p)
-            last = p
-    return out
-
-
-def split(encode, chunk: str) -> tuple[str, list[int] | None, str]:
+    """End positions of the chunks of one text."""
+    points, starts = _place([text])
+    return _ends(points, starts, mean, longest).tolist()
+
+
+def split(encode, chunk: str) -> tuple[str, np.ndarray | None, str]:
     """(head, ids, tail) of a chunk: text before its first seam, ids up to its last seam, text
     after it. Without a seam all is head and ids are None."""
     at = [m.start() for m in _SEAM.finditer(chunk)]
     if not at:
         return chunk, None, ""
-    return chunk[: at[0]], encode(chunk[at[0] : at[-1]]) if at[-1] > at[0] else [], chunk[at[-1] :]
+    return chunk[: at[0]], encode(chunk[at[0] : at[-1]]) if at[-1] > at[0] else _NONE, chunk[at[-1] :]
+
 
+_NONE = np.zeros(0, np.uint32)
 
-def join(encode, parts: list[tuple[str, list[int] | None, str]]) -> list[int]:
+
+def join(encode, parts: list[tuple[str, np.ndarray | None, str]]) -> np.ndarray:
     """Ids of the whole text from the parts of its chunks."""
-    out: list[int] = []
+    out: list[np.ndarray] = []
     carry = ""
     for head, ids, tail in parts:
         carry += head
         if ids is not None:
-            out += encode(carry)
-            out += ids
+            if carry:
+                out.append(encode(carry))
+            out.append(ids)
             carry = tail
-    return out + encode(carry) if carry else out
+    if carry:
+        out.append(encode(carry))
+    return np.concatenate(out) if out else _NONE
+
+
+def _lists(rows: list[np.ndarray | None]) -> pa.Array:
+    """An array<int> column; None is null."""
+    lens = [0 if r is None else len(r) for r in rows]
+    flat = np.concatenate([r for r in rows if r is not None and len(r)] or [_NONE]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32()), pa.array(flat), mask=pa.array([r is None for r in rows]))
+
+
+def _slices(texts: list[str], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    start = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > limit:
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
 
+def _chunks(cfg: Tokenizer, text: bool):
+    """Chunks of whole texts: their keys with place (text=False) or with their text."""
 
-def _chunks(cfg: Tokenizer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, rows, seqs, pieces, made = b.column("text").to_pylist(), [], [], [], 0
-            for i, t in enumerate(texts):
-                last = 0
-                for k, end in enumerate(cuts(t, cfg.chunk, cfg.longest)):
-                    rows.append(i)
-                    seqs.append(k)
-                    pieces.append(t[last:end])
-                    made += end - last
-                    last = end
-                if made > 1 << 22 or i == len(texts) - 1:
-                    at = pa.array(rows, pa.int64())
-                    yield pa.RecordBatch.from_arrays([b.column("row").take(at), b.column("doc_id").take(at), pa.array(seqs, pa.int32()), pa.array(pieces, pa.string())], names=["row", "doc_id", "seq", "piece"])
-                    rows, seqs, pieces, made = [], [], [], 0
+            texts = b.column("text").to_pylist()
+            for lo, hi in _slices(texts):
+                part = texts[lo:hi]
+                points, starts = _place(part)
+                ends = _ends(points, starts, cfg.chunk, cfg.longest)
+                begins = np.concatenate([[0], ends[:-1]])
+                # two polynomial hashes of each chunk, and its length
+                code = mix(points.astype(np.uint64) + _U(1))
+                keys = []
+                for factor in (0xD1342543DE82EF95, 0x9E3779B97F4A7C15):
+                    place = (np.arange(len(code), dtype=np.int64) - np.repeat(begins, ends - begins)).astype(np.uint64)
+                    keys.append(mix(np.add.reduceat(mix(code * _U(factor) + mix(place + _U(factor))), begins) + (ends - begins).astype(np.uint64)).view(np.int64))
+                if text:
+                    first = np.unique(keys[0], return_index=True)[1]
+                    whole = "".join(part)
+                    pieces = [whole[i:j] for i, j in zip(begins[first].tolist(), ends[first].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[0][first]), pa.array(keys[1][first]), pa.array(pieces, pa.string())], names=["h1", "h2", "piece"])
+                else:
+                    owner = np.searchsorted(starts, begins, "right") - 1
+                    first = np.searchsorted(owner, owner, "left")
+                    at = pa.array(owner + lo)
+                    cols = [b.column("row").take(at), b.column("doc_id").take(at), pa.array((np.arange(len(owner)) - first).astype(np.int32)), pa.array(keys[0]), pa.array(keys[1])]
+                    yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "seq", "h1", "h2"])
 
     return run
 
@@ -125,7 +173,7 @@ def _encode(cfg: Tokenizer):
         for b in batches:
             got = [split(encode, x) for x in b.column("piece").to_pylist()]
             heads, ids, tails = zip(*got, strict=True) if got else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("chunk"), pa.array(heads, pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(tails, pa.string())], names=["chunk", "head", "ids", "tail"])
+            yield pa.RecordBatch.from_arrays([b.column("h1"), b.column("h2"), pa.array(heads, pa.string()), _lists(list(ids)), pa.array(tails, pa.string())], names=["h1", "h2", "head", "ids", "tail"])
 
     return run
 
@@ -134,8 +182,13 @@ def _assemble(cfg: Tokenizer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(f"{cfg.folder}/{cfg.file}")
         for b in batches:
-            out = [join(encode, [(p["head"], p["ids"], p["tail"]) for p in parts]) for parts in b.column("parts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            parts = b.column("parts")
+            flat = parts.flatten()
+            heads, tails, ids = flat.field("head").to_pylist(), flat.field("tail").to_pylist(), flat.field("ids")
+            none, at, values = ids.is_null().to_numpy(zero_copy_only=False), ids.offsets.to_numpy(), ids.values.to_numpy()
+            cells = [(h, None if n else values[i:j], t) for h, n, i, j, t in zip(heads, none.tolist(), at[:-1].tolist(), at[1:].tolist(), tails, strict=True)]
+            row = (parts.offsets.to_numpy() - parts.offsets[0].as_py()).tolist()
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists([join(encode, cells[i:j]) for i, j in zip(row[:-1], row[1:], strict=True)])], names=["doc_id", "ids"])
 
     return run
 
@@ -144,10 +197,13 @@ def corpus_ids(docs: DataFrame, key: Column, text: Column, cfg: Tokenizer = Toke
     """(doc_id, ids) for every row of ``docs``."""
     rows = docs.select(key.alias("doc_id"), text.alias("text")).withColumn("row", F.monotonically_increasing_id())
     kind = dict(rows.dtypes)["doc_id"]
-    cut = rows.where(F.length("text") > 0).mapInArrow(_chunks(cfg), f"row long, doc_id {kind}, seq int, piece string")
-    cut = cut.withColumn("chunk", F.struct(F.xxhash64("piece").alias("h"), F.crc32(F.col("piece").cast("binary")).alias("c"), F.length("piece").alias("n")))
-    encoded = cut.groupBy("chunk").agg(F.first("piece").alias("piece")).mapInArrow(_encode(cfg), "chunk struct<h: long, c: long, n: int>, head string, ids array<int>, tail string")
-    parts = cut.drop("piece").join(encoded, "chunk").groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "head", "ids", "tail"))).alias("parts"))
+    full = rows.where(F.length("text") > 0)
+    # chunks are made twice, once as keys with their place and once as text: that is cheaper than
+    # shuffling the text of all of them
+    places = full.mapInArrow(_chunks(cfg, False), f"row long, doc_id {kind}, seq int, h1 long, h2 long")
+    pieces = full.select("text").mapInArrow(_chunks(cfg, True), "h1 long, h2 long, piece string")
+    encoded = pieces.groupBy("h1", "h2").agg(F.first("piece").alias("piece")).mapInArrow(_encode(cfg), "h1 long, h2 long, head string, ids array<int>, tail string")
+    parts = places.join(encoded, ["h1", "h2"]).groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "head", "ids", "tail"))).alias("parts"))
     whole = parts.select("doc_id", "parts").mapInArrow(_assemble(cfg), f"doc_id {kind}, ids array<int>")
     none = rows.where(F.col("text").isNull() | (F.length("text") == 0)).select("doc_id", F.array().cast("array<int>").alias("ids"))
     return whole.unionByName(none)
