@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("activity", "interactions", "accounts")
+MODULES = ("activity", "interactions", "accounts", "extras")
 
 
 def queries() -> dict:
