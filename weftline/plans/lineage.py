@@ -15,7 +15,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="weftline-ckpt-")
     sc.setCheckpointDir(shared)
