@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.accounts import finite, name
+from weftline.functions.accounts import finite, name, sql_finite, sql_name
 from weftline.llm.clusters import Density, all_alike, density_clusters
 from weftline.llm.top_items import top_items
 from weftline.plans.lineage import cut
@@ -55,5 +55,18 @@ def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {"p3_found": p3_found, "p3_clusters": p3_clusters}
 
 
+def _coordinates_sql() -> list[str]:
+    log = lambda c: f"ln(1 + {sql_finite(c)})"
+    return [*[log(c) for c in LOGGED], f"5 * {sql_finite('night_activity_ratio')}", f"5 * {sql_finite('weekend_activity_ratio')}", log("comment_post_ratio")]
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """All pairs by brute force: as clusters are sets of accounts all alike and no account is in two,
+    an account's cluster is what lies within epsilon of it."""
+    xs = _coordinates_sql()
+    square = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(len(xs)))
+    there = " and ".join(f"x{i} is not null" for i in range(len(xs)))
+    return {
+        "p3_found": f"""with f as (select distinct {sql_name("user_id")} as user_id, {", ".join(f"{x} as x{i}" for i, x in enumerate(xs))} from account_features where length({sql_name("user_id")}) > 0), p as (select * from f where {there})
+            select a.user_id, min(b.user_id) as cluster_id from p a join p b on {square} <= {ALIKE.epsilon**2} group by 1 having count(*) >= {ALIKE.min_size}""",
+    }
