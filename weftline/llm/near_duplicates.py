@@ -4,7 +4,7 @@ A text's fingerprint is a vector of ``blocks * rows`` minimum hashes of its shin
 split into ``blocks`` blocks; two fingerprints that differ in fewer than ``blocks`` places share a
 whole block (pigeonhole), and texts of similarity s share one with probability
 1 - (1 - s^rows)^blocks: at the defaults for s = 0.6 in 9,996 of 10,000 pairs, for s = 0.7 in all
-but one of a million. Records are joined on blocks. Candidates are verified by the Hamming
+but about one in five million. Records are joined on blocks. Candidates are verified by the Hamming
 distance of a second, 256-bit fingerprint, in which each shingle toggles one bit: it is at most
 the number of shingles not shared, so a distance above the bound (1 - t) / (1 + t) * (|a| + |b|)
 rules a pair out for certain and no case is lost there. What remains is tested exactly on whole
