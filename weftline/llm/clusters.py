@@ -182,16 +182,18 @@ def boruvka(edges: DataFrame, vertices: DataFrame, levels: list[float]) -> tuple
             to = cut(to)
             while True:
                 for _ in range(3):
-                    to = to.join(to.select(F.col("c").alias("up"), F.col("up").alias("upup")), "up").select("c", F.col("upup").alias("up"))
+                    to = to.join(to.select(F.col("c").alias("up"), F.col("up").alias("upup")), "up").select("c", F.col("upup").alias("up"), (F.col("up") != F.col("upup")).alias("moved"))
                 to = cut(to)
-                # done when every pointer leads to a root
-                if to.join(to.select(F.col("c").alias("up"), F.col("up").alias("upup")), "up").where(F.col("upup") != F.col("up")).isEmpty():
+                # done when the last shortening moved no pointer: all lead to roots
+                still = to.where("moved").isEmpty()
+                to = to.select("c", "up")
+                if still:
                     break
             a, b = to.toDF("ca", "na"), to.toDF("cb", "nb")
             moved = graph.join(a, "ca", "left").join(b, "cb", "left").select(F.coalesce("na", "ca").alias("x"), F.coalesce("nb", "cb").alias("y"), "e").where(F.col("x") != F.col("y"))
             graph = cut(moved.groupBy(F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb")).agg(F.min("e").alias("e")))
-            labels = cut(labels.join(to, "c", "left").select("pid", *columns, F.coalesce("up", "c").alias("c")))
-        labels = labels.withColumn(f"c{number}", F.col("c"))
+            labels = labels.join(to, "c", "left").select("pid", *columns, F.coalesce("up", "c").alias("c"))
+        labels = cut(labels).withColumn(f"c{number}", F.col("c"))
         columns.append(f"c{number}")
     if tree is None:
         tree = edges.select("a", "b", "w").limit(0)
