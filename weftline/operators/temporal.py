@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.ranking import top_per_group
+from weftline.plans.lineage import cut, shuffle_partitions
+
+TIMING = ("same_posts", "within_strong", "within_moderate", "median_delay", "min_delay", "label", "confidence")
 
 
 @dataclass(frozen=True)
@@ -17,11 +20,24 @@ class Windows:
     latest: int = 100  # comments per account; 0 for all
 
 
-def group_pairs(members: DataFrame, group: str, account: str) -> DataFrame:
-    """(group, a, b) with a < b: the pairs within each group. Groups are bounded by the size cap of
-    the expansion or discovery that made them."""
+def group_pairs(members: DataFrame, group: str, account: str, block: int = 256) -> DataFrame:
+    """(group, a, b) with a < b: all pairs within each group, however large.
+
+    The members of a group are cut into blocks of about ``block``; each block meets the whole group
+    in its own task, so the pairs of one large group are made in many places.
+    """
+    n = shuffle_partitions(members.sparkSession)
     m = members.select(F.col(group).alias("grp"), F.col(account).alias("x")).distinct()
-    return m.toDF("grp", "a").join(m.toDF("grp", "b"), "grp").where(F.col("a") < F.col("b"))
+    m = m.join(m.groupBy("grp").agg(F.ceil(F.count("*") / block).alias("blocks")), "grp")
+    left = m.select("grp", F.pmod(F.xxhash64("x"), F.col("blocks")).alias("block"), F.col("x").alias("a")).repartition(n, "grp", "block")
+    right = m.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("x").alias("b")).repartition(n, "grp", "block")
+    return left.join(right, ["grp", "block"]).where(F.col("a") < F.col("b")).select("grp", "a", "b")
+
+
+def group_timing(members: DataFrame, group: str, account: str, comments: DataFrame, cfg: Windows) -> DataFrame:
+    """(group, a, b, timing, label, confidence) of all pairs within each group; a pair in several groups is timed once."""
+    pairs = cut(group_pairs(members, group, account).withColumnRenamed("grp", group))
+    return pairs.join(labelled(pair_timing(pairs, comments, cfg)), ["a", "b"]).select(group, "a", "b", *TIMING)
 
 
 def pair_timing(pairs: DataFrame, comments: DataFrame, cfg: Windows) -> DataFrame:

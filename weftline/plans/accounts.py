@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions.accounts import finite, name, sql_finite, sql_name, sql_valid, valid_name
 from weftline.operators import behaviour, cleaning, evaluation, expansion, graph, scoring, temporal, text_features
 from weftline.operators.expansion import Tiers
-from weftline.operators.ranking import global_index, positive_percentile, top_per_group
+from weftline.operators.ranking import global_index, positive_percentile
 from weftline.plans.interactions import C, CO_N, CO_T, E, P, TR, co_negative, co_target, comments, edges, interactions, posts, trigger
 from weftline.plans.lineage import cut
 from weftline.plans.rounding import rounded, sql_rounded
@@ -105,10 +105,14 @@ def pair_timing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def member_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of a seed's included members."""
     m = table(spark, d, "expansion_members").where(F.col("include")).select(valid_name("seed").alias("seed"), valid_name("candidate").alias("candidate")).where(F.col("seed").isNotNull() & F.col("candidate").isNotNull())
-    m = m.join(scores(spark, d).select(F.col("user_id").alias("candidate"), F.coalesce("mca_score_primary", F.lit(0.0)).alias("s")), "candidate").distinct()
-    small = top_per_group(m, ["seed"], [F.desc("s"), F.asc("candidate")], 50)
-    return temporal.group_pairs(small, "seed", "candidate").withColumnRenamed("grp", "seed")
+    return temporal.group_pairs(m, "seed", "candidate").withColumnRenamed("grp", "seed")
+
+
+def expansion_timing(spark: SparkSession, d: str) -> DataFrame:
+    """Timing of all pairs of members of each seed's expansion."""
+    return temporal.group_timing(cut(tiered_expansion(spark, d)), "seed", "candidate", interactions(spark, d), temporal.Windows())
 
 
 def member_summary(spark: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,7 @@ from weftline.operators import graph
 from weftline.plans import accounts, interactions
 
 FRONT = {"posts": interactions.posts, "comments": interactions.interactions, "edges": interactions.edges, "trigger_response": interactions.trigger, "co_target": interactions.co_target, "co_negative": interactions.co_negative}
-BACK = {"signals": accounts.account_signals, "seeds": accounts.seeds, "expansion": accounts.tiered_expansion, "pair_timing": accounts.pair_timing}
+BACK = {"signals": accounts.account_signals, "seeds": accounts.seeds, "expansion": accounts.tiered_expansion, "pair_timing": accounts.expansion_timing}
 
 
 def row_ranges(start: int, end: int, workers: int) -> list[tuple[int, int]]:
