@@ -9,6 +9,7 @@ from weftline.functions.accounts import finite, name, sql_finite, sql_name, sql_
 from weftline.operators import behaviour, cleaning, evaluation, expansion, graph, scoring, temporal, text_features
 from weftline.operators.expansion import Tiers
 from weftline.operators.ranking import global_index, positive_percentile
+from weftline.plans.extras import tag_similarity
 from weftline.plans.interactions import C, CO_N, CO_T, E, P, TR, co_negative, co_target, comments, edges, interactions, posts, trigger
 from weftline.plans.lineage import cut
 from weftline.plans.rounding import rounded, sql_rounded
@@ -75,12 +76,11 @@ def seeds(spark: SparkSession, d: str) -> DataFrame:
 def _layers(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     e = cut(edges(spark, d))
     tr = trigger(spark, d)
-    none = spark.createDataFrame([], "me string, other string, w double")
     return {
         "co_negative": cut(expansion.both_ways(graph.co_targets(e, "w_opposed", _projection("n")), "similarity")),
         "co_target": cut(expansion.both_ways(graph.co_targets(e, "w_log", _projection("t")), "similarity")),
         "trigger": cut(expansion.both_ways(tr.withColumn("w_trigger", F.round("w_trigger", 9)), "w_trigger")),
-        "tag": none,
+        "tag": cut(expansion.both_ways(tag_similarity(spark, d), "similarity")),
     }
 
 
