@@ -76,3 +76,18 @@ def test_expansion_uses_the_tag_layer(spark, name):
     assert said.startswith("ok"), said
     if name == "tiered_expansion":
         assert con.execute(f"select count(*) from ({sql}) where tag > 0").fetchone()[0]
+
+
+RHETORIC = {
+    "\nselect * replace": f", {extras._R}, ar as (select ac.user_id, coalesce(round(mean_rhetoric, 9), 0) as rhetoric, coalesce(round(loaded_per_post, 9), 0) as nonneutral from ac left join rf using (user_id))\nselect * replace",
+    "0.25 * p_opposed_ratio as manipulative": "0.40 * p_rhetoric + 0.35 * p_nonneutral + 0.25 * p_opposed_ratio as manipulative",
+    "from ac join": f"from ac join {accounts._pp('ar', 'rhetoric', 'p_rhetoric')} using (user_id) join {accounts._pp('ar', 'nonneutral', 'p_nonneutral')} using (user_id) join",
+}
+
+
+@with_data
+def test_account_signals_have_all_three_manipulative_terms(spark):
+    con, sql = duck(FOLDER), extended(accounts.oracle_sql()["account_signals"], RHETORIC)
+    said = compare(spark, con, FOLDER, "account_signals", accounts.QUERIES["account_signals"], sql)
+    assert said.startswith("ok"), said
+    assert con.execute(f"select max(manipulative) from ({sql})").fetchone()[0] > 0.25

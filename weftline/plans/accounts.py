@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.accounts import finite, name, sql_finite, sql_name, sql_valid, valid_name
-from weftline.operators import behaviour, cleaning, evaluation, expansion, graph, scoring, temporal, text_features
+from weftline.operators import behaviour, cleaning, evaluation, expansion, graph, rhetoric, scoring, temporal, text_features
 from weftline.operators.expansion import Tiers
 from weftline.operators.ranking import global_index, positive_percentile
-from weftline.plans.extras import tag_similarity
+from weftline.plans.extras import rhetoric_posts, tag_similarity
 from weftline.plans.interactions import C, CO_N, CO_T, E, P, TR, co_negative, co_target, comments, edges, interactions, posts, trigger
 from weftline.plans.lineage import cut
 from weftline.plans.rounding import rounded, sql_rounded
@@ -54,7 +54,8 @@ def account_signals(spark: SparkSession, d: str) -> DataFrame:
     for frame, out in ((graph.strength(co_t, "similarity"), "co_target"), (graph.strength(co_n, "similarity"), "co_negative"), (tr.groupBy(F.col("a").alias("account")).agg(F.sum("w_trigger").alias("strength")), "trigger_out"), (tr.groupBy(F.col("b").alias("account")).agg(F.sum("w_trigger").alias("strength")), "trigger_in")):
         acc = acc.join(frame.select(F.col("account").alias("user_id"), F.round("strength", 9).alias(out)), "user_id", "left")
     old = features(spark, d).select("user_id", F.col("old_anomaly_score").alias("anomaly_score"))
-    acc = acc.join(old, "user_id", "left").withColumns({"rhetoric": F.lit(0.0), "nonneutral": F.lit(0.0)})
+    said = rhetoric.rhetoric_features(rhetoric_posts(spark, d)).select("user_id", F.round("mean_rhetoric", 9).alias("rhetoric"), F.round("loaded_per_post", 9).alias("nonneutral"))
+    acc = acc.join(old, "user_id", "left").join(said, "user_id", "left")
     return scoring.signals(cut(acc))
 
 
