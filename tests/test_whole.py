@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 
 from tests.oracle import compare, duck
-from weftline.operators import temporal
+from weftline.operators import expansion, temporal
 from weftline.plans import accounts, extras, pipeline
 
 FOLDER = os.environ.get("WEFTLINE_DATA", "/root/testdata/sf0.001")
@@ -91,3 +91,11 @@ def test_account_signals_have_all_three_manipulative_terms(spark):
     said = compare(spark, con, FOLDER, "account_signals", accounts.QUERIES["account_signals"], sql)
     assert said.startswith("ok"), said
     assert con.execute(f"select max(manipulative) from ({sql})").fetchone()[0] > 0.25
+
+
+def test_expansion_keeps_a_hundred_members(spark):
+    empty = spark.createDataFrame([], "me string, other string, w double")
+    near = spark.createDataFrame([("s", f"x{i:03}", 0.5) for i in range(120)], "me string, other string, w double")
+    layers = {"co_negative": near, "co_target": empty, "tag": empty, "trigger": empty}
+    got = sorted(r.candidate for r in expansion.expand(spark.createDataFrame([("s",)], "seed string"), layers, accounts.TIERS).collect())
+    assert got == ["s", *[f"x{i:03}" for i in range(99)]]

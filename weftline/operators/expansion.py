@@ -17,7 +17,7 @@ class Tiers:
     trigger: float = 0.5
     co_target: float = 0.3
     min_links: int = 2
-    max_members: int = 60
+    max_members: int = 100
 
 
 def both_ways(pairs: DataFrame, weight: str, a: str = "a", b: str = "b") -> DataFrame:
