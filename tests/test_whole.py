@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 
 from tests.oracle import compare, duck
-from weftline.operators import expansion, temporal
+from weftline.operators import behaviour, expansion, temporal
 from weftline.plans import accounts, extras, pipeline
 
 FOLDER = os.environ.get("WEFTLINE_DATA", "/root/testdata/sf0.001")
@@ -99,3 +99,21 @@ def test_expansion_keeps_a_hundred_members(spark):
     layers = {"co_negative": near, "co_target": empty, "tag": empty, "trigger": empty}
     got = sorted(r.candidate for r in expansion.expand(spark.createDataFrame([("s",)], "seed string"), layers, accounts.TIERS).collect())
     assert got == ["s", *[f"x{i:03}" for i in range(99)]]
+
+
+def test_post_clusters_see_tags_and_words(spark):
+    p = spark.createDataFrame([("p1", 3, "buy now"), ("p2", 0, "red fox"), ("p3", 0, "old dog"), ("p4", 0, None)], "post_id string, num_comments long, analysis_text string")
+    c = spark.createDataFrame([("p1", 40.0, "mixed"), ("p1", -20.0, "neutral")], "post_id string, score double, label string")
+    rows = {r.post_id: r for r in extras.cluster_features(p, c).collect()}
+    assert len(extras.NUMERIC) == 32 and len(extras.TEXT) == 64
+    one = rows["p1"]
+    assert (one.tag_urgency, one.tag_call_to_action, one.tag_fear, one.rhetoric_score, one.num_comments, one.chars) == (1.0, 1.0, 0.0, 25.0, 3.0, 7.0)
+    assert (one.min_score, one.max_score, one.ratio_mixed, one.ratio_neutral) == (-20.0, 40.0, 0.5, 0.5)
+    assert [rows["p2"][x] for x in extras.NUMERIC] == [rows["p3"][x] for x in extras.NUMERIC]  # they differ only in their words
+    assert [rows["p2"][x] for x in extras.TEXT] != [rows["p3"][x] for x in extras.TEXT] and not any(rows["p4"][x] for x in extras.TEXT)
+
+
+def test_kmeans_uses_plain_columns(spark):
+    f = spark.createDataFrame([(f"u{i}", 1.0, float(i % 2)) for i in range(20)], "user_id string, same double, t double")
+    got = {r.user_id: r.cluster for r in behaviour.kmeans(f, ["same"], k=2, seed=1, plain=["t"]).collect()}
+    assert len({got[f"u{i}"] for i in range(0, 20, 2)}) == 1

@@ -63,15 +63,16 @@ def anomaly(features: DataFrame, columns: list[str], contamination: float = 0.05
     return s.select("user_id", "distance", F.when(F.col("distance") >= F.col("cutoff"), -1).otherwise(1).alias("anomaly_label"), (F.col("cutoff") - F.col("distance")).alias("anomaly_score"), (F.col("distance") >= F.col("far")).alias("is_extreme_outlier"))
 
 
-def kmeans(features: DataFrame, columns: list[str], k: int = 8, iterations: int = 40, seed: int = 42) -> DataFrame:
-    """(user_id, cluster): Lloyd's k-means on standardised columns. Labels depend on the seed."""
+def kmeans(features: DataFrame, columns: list[str], k: int = 8, iterations: int = 40, seed: int = 42, plain: list[str] | None = None) -> DataFrame:
+    """(user_id, cluster): Lloyd's k-means on standardised columns, and on ``plain`` ones as they are. Labels depend on the seed."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    f = features.na.fill(0.0, columns)
+    f = features.na.fill(0.0, [*columns, *(plain or [])])
     v = VectorAssembler(inputCols=columns, outputCol="raw").transform(f)
     v = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True).fit(v).transform(v)
-    model = KMeans(k=k, initMode="random", maxIter=iterations, seed=seed, featuresCol="scaled", predictionCol="cluster").fit(v)
+    v = VectorAssembler(inputCols=["scaled", *(plain or [])], outputCol="all").transform(v)
+    model = KMeans(k=k, initMode="random", maxIter=iterations, seed=seed, featuresCol="all", predictionCol="cluster").fit(v)
     return model.transform(v).select("user_id", "cluster")
 
 

@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import behaviour, rhetoric, text_features
+from weftline.operators.cleaning import LABELS
 from weftline.plans.interactions import E, P, edges, interactions, posts
 from weftline.plans.lineage import cut
 from weftline.plans.rounding import rounded, sql_rounded
 from weftline.sources.tables import table
 from weftline.streaming import windows
 
-NUMERIC = ["words", "uppercase_ratio", "digit_ratio", "exclamation_ratio", "question_ratio", "url_ratio", "dollar_ratio", "comments", "mean_score", "oppositional_pressure", "supportive_pressure", "controversy"]
+NUMERIC = [
+    "rhetoric_score", "high_manipulation", "chars", "words", "num_comments", *[f"{n}_ratio" for n in text_features.PATTERNS], "comments", "mean_score", "min_score", "max_score",
+    *[f"ratio_{x}" for x in LABELS], "oppositional_pressure", "supportive_pressure", "controversy", *[f"tag_{t}" for t in rhetoric.TAGS],
+]
+TEXT = [f"term_{i}" for i in range(64)]
 
 
 def rhetoric_posts(spark: SparkSession, d: str) -> DataFrame:
@@ -25,13 +30,25 @@ def tag_similarity(spark: SparkSession, d: str) -> DataFrame:
     return rhetoric.tag_similarity(rhetoric.rhetoric_features(rhetoric_posts(spark, d)), nodes)
 
 
+def cluster_features(posts: DataFrame, comments: DataFrame) -> DataFrame:
+    """(post_id, NUMERIC, TEXT): text ratios, comment feedback, rhetoric tags and score, hashed terms of each post."""
+    r = rhetoric.scored(posts, "analysis_text")
+    said = r.select(
+        "post_id", "rhetoric_score", (F.col("rhetoric_score") >= 60).cast("double").alias("high_manipulation"), F.length(F.coalesce("analysis_text", F.lit(""))).cast("double").alias("chars"),
+        F.col("num_comments").cast("double").alias("num_comments"), *[F.array_contains("tags", t).cast("double").alias(f"tag_{t}") for t in rhetoric.TAGS],
+    )
+    terms = text_features.hashed_terms(posts, "post_id", "analysis_text", len(TEXT)).groupBy("post_id").pivot("bucket", list(range(len(TEXT)))).agg(F.first("weight")).toDF("post_id", *TEXT)
+    f = text_features.post_features(posts, comments).join(said, "post_id").join(terms, "post_id", "left")
+    return f.select("post_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in (*NUMERIC, *TEXT)])
+
+
 def post_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """K-means over post features with, per cluster, size, means and top terms."""
+    """K-means over post features and hashed terms with, per cluster, size, means and top terms."""
     p = cut(posts(spark, d))
-    f = text_features.post_features(p, interactions(spark, d)).withColumnRenamed("post_id", "user_id")
-    labels = cut(behaviour.kmeans(f, NUMERIC).withColumnRenamed("user_id", "post_id"))
+    f = cut(cluster_features(p, interactions(spark, d)))
+    labels = cut(behaviour.kmeans(f.withColumnRenamed("post_id", "user_id"), NUMERIC, plain=TEXT).withColumnRenamed("user_id", "post_id"))
     terms = text_features.top_terms(p.join(labels, "post_id"), "cluster", "analysis_text").groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda t: t["term"]), " ").alias("terms"))
-    means = f.withColumnRenamed("user_id", "post_id").join(labels, "post_id").groupBy("cluster").agg(F.count("*").alias("posts"), *[F.round(F.avg(c), 4).alias(f"mean_{c}") for c in NUMERIC])
+    means = f.join(labels, "post_id").groupBy("cluster").agg(F.count("*").alias("posts"), *[F.round(F.avg(c), 4).alias(f"mean_{c}") for c in NUMERIC])
     return means.join(terms, "cluster", "left")
 
 
