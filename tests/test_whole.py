@@ -117,3 +117,18 @@ def test_kmeans_uses_plain_columns(spark):
     f = spark.createDataFrame([(f"u{i}", 1.0, float(i % 2)) for i in range(20)], "user_id string, same double, t double")
     got = {r.user_id: r.cluster for r in behaviour.kmeans(f, ["same"], k=2, seed=1, plain=["t"]).collect()}
     assert len({got[f"u{i}"] for i in range(0, 20, 2)}) == 1
+
+
+@with_data
+@pytest.mark.parametrize(("name", "old", "new"), [("top_accounts", "limit 50", "limit 100"), ("seed_neighbours", "<= 10", "<= 15"), ("trigger_neighbours", "<= 10", "<= 15")])
+def test_reports_have_the_reference_length(spark, name, old, new):
+    folder = FOLDER if name != "seed_neighbours" else FOLDER.replace("sf0.001", "sf0.01")  # no seed has more than 10 on the smallest
+    con, sql = duck(folder), extended(accounts.oracle_sql()[name], {old: new})
+    said = compare(spark, con, folder, name, accounts.QUERIES[name], sql)
+    assert said.startswith("ok"), said
+
+
+def test_top_accounts_ranks_a_hundred(spark, tmp_path):
+    rows = [(f"u{i:03}", *[i / 200] * 6) for i in range(130)]
+    write(spark.createDataFrame(rows, "user_id string, " + ", ".join(f"{c} double" for c in (*accounts.SIGNALS, "mca_score_primary", "mca_score_alt"))), tmp_path, "mca_scores")
+    assert sorted(r.place for r in accounts.QUERIES["top_accounts"](spark, str(tmp_path)).collect()) == list(range(1, 101))

@@ -153,10 +153,10 @@ QUERIES = {
     "positive_percentile": lambda s, d: rounded(positive_percentile(scores(s, d).select("user_id", "coordinative_signal"), "coordinative_signal", "percentile")),
     "account_signals": lambda s, d: rounded(account_signals(s, d)),
     "score_views": lambda s, d: rounded(score_views(s, d), 9),
-    "top_accounts": lambda s, d: rounded(scoring.leaders(score_views(s, d), "score_primary", 50), 9).select("user_id", "score_primary", "place"),
+    "top_accounts": lambda s, d: rounded(scoring.leaders(score_views(s, d), "score_primary", 100), 9).select("user_id", "score_primary", "place"),
     "seeds": seeds,
-    "seed_neighbours": lambda s, d: rounded(expansion.neighbours(co_target(s, d), expansion_seeds(s, d), "similarity", 10)),
-    "trigger_neighbours": lambda s, d: rounded(expansion.directed_neighbours(trigger(s, d).withColumn("w_trigger", F.round("w_trigger", 9)), expansion_seeds(s, d), "w_trigger", 10)),
+    "seed_neighbours": lambda s, d: rounded(expansion.neighbours(co_target(s, d), expansion_seeds(s, d), "similarity", 15)),
+    "trigger_neighbours": lambda s, d: rounded(expansion.directed_neighbours(trigger(s, d).withColumn("w_trigger", F.round("w_trigger", 9)), expansion_seeds(s, d), "w_trigger", 15)),
     "tiered_expansion": lambda s, d: rounded(tiered_expansion(s, d)),
     "induced_edges": lambda s, d: rounded(expansion.induced(co_negative(s, d), cut(tiered_expansion(s, d)), "similarity")),
     "shared_with_seed": lambda s, d: rounded(expansion.shared_with_seed(cut(tiered_expansion(s, d)), edges(s, d), "w_log")),
