@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.accounts import finite, name, sql_finite, sql_name, sql_valid, valid_name
+from weftline.functions.text import sql_mean
 from weftline.operators import behaviour, cleaning, evaluation, expansion, graph, rhetoric, scoring, temporal, text_features
 from weftline.operators.expansion import Tiers
 from weftline.operators.ranking import global_index, positive_percentile
-from weftline.plans.extras import rhetoric_posts, tag_similarity
+from weftline.plans.extras import _R, TAG, rhetoric_posts, tag_similarity
 from weftline.plans.interactions import C, CO_N, CO_T, E, P, TR, co_negative, co_target, comments, edges, interactions, posts, trigger
 from weftline.plans.lineage import cut
 from weftline.plans.rounding import rounded, sql_rounded
@@ -201,16 +202,16 @@ def _pp(frame: str, raw: str, out: str) -> str:
     return f"(select user_id, case when {raw} > 0 then (rank() over (partition by {raw} > 0 order by {raw}) + (count(*) over (partition by {raw}) - 1) / 2.0) / count(*) over (partition by {raw} > 0) else 0 end as {out} from {frame})"
 
 
-_RAW = {"opposed_ratio": 0, "out_n": 0, "in_n": 0, "breadth": 0, "co_target": 0, "co_negative": 0, "trigger_out": 0, "trigger_in": 0, "unusual": 0}
+_RAW = {"rhetoric": 0, "nonneutral": 0, "opposed_ratio": 0, "out_n": 0, "in_n": 0, "breadth": 0, "co_target": 0, "co_negative": 0, "trigger_out": 0, "trigger_in": 0, "unusual": 0}
 _SIGNALS = (
-    f"""{_F}, st as (select account as user_id, round(sum(w), 9) as w from (select a as account, similarity as w from cot union all select b, similarity from cot) group by 1),
+    f"""{_F}, {_R}, st as (select account as user_id, round(sum(w), 9) as w from (select a as account, similarity as w from cot union all select b, similarity from cot) group by 1),
 sn as (select account as user_id, round(sum(w), 9) as w from (select a as account, similarity as w from con union all select b, similarity from con) group by 1),
 so as (select a as user_id, round(sum(w_trigger), 9) as w from tr group by 1), si as (select b as user_id, round(sum(w_trigger), 9) as w from tr group by 1),
 rc as (select account as user_id, sum(o) as out_n, sum(i) as in_n, sum(x) as breadth from (select source as account, n as o, 0 as i, 1 as x from e union all select target, 0, n, 1 from e) group by 1),
 op as (select source as user_id, sum(n_oppositional) / sum(n) as r from e group by 1),
-ac as (select rc.user_id, out_n, in_n, breadth, coalesce(op.r, 0) as opposed_ratio, coalesce(st.w, 0) as co_target, coalesce(sn.w, 0) as co_negative, coalesce(so.w, 0) as trigger_out, coalesce(si.w, 0) as trigger_in, greatest(0, -coalesce(f.old_anomaly_score, 0)) as unusual
-    from rc left join op using (user_id) left join st using (user_id) left join sn using (user_id) left join so using (user_id) left join si using (user_id) left join f using (user_id))"""
-    + "\nSELECT user_id, 0.25 * p_opposed_ratio as manipulative, 0.30 * p_co_target + 0.35 * p_co_negative + 0.35 * (0.5 * p_trigger_out + 0.5 * p_trigger_in) as coordinative, 0.35 * p_out_n + 0.25 * p_in_n + 0.40 * p_breadth as reach, p_unusual as automatic from ac "
+ac as (select rc.user_id, out_n, in_n, breadth, coalesce(op.r, 0) as opposed_ratio, coalesce(round(rf.mean_rhetoric, 9), 0) as rhetoric, coalesce(round(rf.loaded_per_post, 9), 0) as nonneutral, coalesce(st.w, 0) as co_target, coalesce(sn.w, 0) as co_negative, coalesce(so.w, 0) as trigger_out, coalesce(si.w, 0) as trigger_in, greatest(0, -coalesce(f.old_anomaly_score, 0)) as unusual
+    from rc left join op using (user_id) left join st using (user_id) left join sn using (user_id) left join so using (user_id) left join si using (user_id) left join f using (user_id) left join rf using (user_id))"""
+    + "\nSELECT user_id, 0.40 * p_rhetoric + 0.35 * p_nonneutral + 0.25 * p_opposed_ratio as manipulative, 0.30 * p_co_target + 0.35 * p_co_negative + 0.35 * (0.5 * p_trigger_out + 0.5 * p_trigger_in) as coordinative, 0.35 * p_out_n + 0.25 * p_in_n + 0.40 * p_breadth as reach, p_unusual as automatic from ac "
     + " ".join(f"join {_pp('ac', r, 'p_' + r)} using (user_id)" for r in _RAW)
 )
 _VIEWS = ", ".join(" + ".join(f"{w} * coalesce({c}, 0)" for w, c in zip(ws, SIGNALS, strict=True)) + f" as score_{p}" for p, ws in scoring.PROFILES.items())
@@ -222,13 +223,14 @@ def _ways(out: str, src: str, w: str) -> str:
 
 
 def _weights(out: str, src: str) -> str:
-    return f"{out} as (select x.*, coalesce(n.w, 0) as co_negative, 0.0::double as tag, coalesce(g.w, 0) as trigger, coalesce(t.w, 0) as co_target from {src} x left join wn n on n.me = seed and n.other = candidate left join wg g on g.me = seed and g.other = candidate left join wt t on t.me = seed and t.other = candidate)"
+    return f"{out} as (select x.*, coalesce(n.w, 0) as co_negative, coalesce(q.w, 0) as tag, coalesce(g.w, 0) as trigger, coalesce(t.w, 0) as co_target from {src} x left join wn n on n.me = seed and n.other = candidate left join wq q on q.me = seed and q.other = candidate left join wg g on g.me = seed and g.other = candidate left join wt t on t.me = seed and t.other = candidate)"
 
 
-_EXPAND = f"""{_SEEDS}, {_ways("wn", "con", "similarity")}, {_ways("wt", "cot", "similarity")}, {_ways("wg", "(select a, b, round(w_trigger, 9) as w from tr)", "w")},
-near as (select seed, other as candidate from sd join wn on me = seed union select seed, other from sd join wt on me = seed union select seed, other from sd join wg on me = seed),
+_STRUCTURE = f"(co_negative > 0 or co_target >= {TIERS.co_target} or trigger >= {TIERS.trigger})"
+_EXPAND = f"""{_SEEDS}, {_R}, {TAG}, {_ways("wq", "tg", "similarity")}, {_ways("wn", "con", "similarity")}, {_ways("wt", "cot", "similarity")}, {_ways("wg", "(select a, b, round(w_trigger, 9) as w from tr)", "w")},
+near as (select seed, other as candidate from sd join wn on me = seed union select seed, other from sd join wt on me = seed union select seed, other from sd join wg on me = seed union select seed, other from sd join wq on me = seed),
 {_weights("dw", "near")},
-di as (select *, case when co_negative >= {TIERS.co_negative} then 1 when trigger >= {TIERS.trigger} and co_negative > 0 then 3 else 99 end as tier, case when co_negative >= {TIERS.co_negative} then 'co_negative' else 'trigger_with_co_negative_or_tag' end as reason, 0 as links from dw),
+di as (select *, case when co_negative >= {TIERS.co_negative} then 1 when tag >= {TIERS.tag} and {_STRUCTURE} then 2 when trigger >= {TIERS.trigger} and (co_negative > 0 or tag >= {TIERS.tag}) then 3 else 99 end as tier, case when co_negative >= {TIERS.co_negative} then 'co_negative' when tag >= {TIERS.tag} and {_STRUCTURE} then 'tag_with_structure' else 'trigger_with_co_negative_or_tag' end as reason, 0 as links from dw),
 ac as (select * from di where tier < 99 union all select seed, seed, 0, 0, 0, 0, 0, 'seed', 0 from sd),
 hp as (select ac.seed, wn.other as candidate, count(*) as links from ac join wn on wn.me = ac.candidate where wn.w >= {TIERS.co_negative} group by 1, 2 having count(*) >= {TIERS.min_links}),
 h2 as (select * from hp where (seed, candidate) not in (select (seed, candidate) from ac)),
@@ -262,7 +264,7 @@ def oracle_sql() -> dict[str, str]:
     zero = ", ".join(f"coalesce({c}, 0) as {c}" for c in ["comments", "mean_score", "min_score", "max_score", *[f"n_{x}" for x in _LABELS], *[f"ratio_{x}" for x in _LABELS]])
     top = lambda c: f"(select user_id, row_number() over (order by {c} desc, user_id) as r from s where {c} is not null)"
     return {
-        "stance_features": sql_rounded(f"with {C}\nSELECT source as user_id, count(*) as comments, avg(score) as mean_score, stddev_pop(score) as std_score, max(score) as max_score, min(score) as min_score, avg(weight) as mean_weight, avg(chars) as mean_chars, count(distinct target) as targets, count(distinct post_id) as posts, {ratios} from c group by 1", "mean_score std_score max_score min_score mean_weight mean_chars " + r_lab.replace(",", "")),
+        "stance_features": sql_rounded(f"with {C}\nSELECT source as user_id, count(*) as comments, {sql_mean('score', 6)} as mean_score, stddev_pop(score) as std_score, max(score) as max_score, min(score) as min_score, {sql_mean('weight', 9)} as mean_weight, avg(chars) as mean_chars, count(distinct target) as targets, count(distinct post_id) as posts, {ratios} from c group by 1", "mean_score std_score max_score min_score mean_weight mean_chars " + r_lab.replace(",", "")),
         "comment_activity": sql_rounded(f"with {C}, {_CA}\nSELECT * from ca", _ACT, 4),
         "post_activity": sql_rounded(f"with {P}, {_PA}\nSELECT * from pa", _ACT, 4),
         "merged_activity": sql_rounded(
@@ -275,11 +277,11 @@ def oracle_sql() -> dict[str, str]:
         "positive_percentile": sql_rounded(f"with {_S}, q as (select user_id, coordinative_signal from s)\nSELECT user_id, coordinative_signal, percentile from q join {_pp('q', 'coordinative_signal', 'percentile')} using (user_id)", "coordinative_signal percentile"),
         "account_signals": sql_rounded(f"with {_GRAPH}, {_SIGNALS}", "manipulative coordinative reach automatic"),
         "score_views": sql_rounded(f"with {_S}\nSELECT user_id, {_VIEWS} from s", " ".join(f"score_{p}" for p in scoring.PROFILES), 9),
-        "top_accounts": sql_rounded(f"with {_S}, v as (select user_id, {_VIEWS} from s)\nSELECT user_id, score_primary, row_number() over (order by score_primary desc, user_id)::int as place from v where score_primary >= 0 order by 3 limit 50", "score_primary", 9),
+        "top_accounts": sql_rounded(f"with {_S}, v as (select user_id, {_VIEWS} from s)\nSELECT user_id, score_primary, row_number() over (order by score_primary desc, user_id)::int as place from v where score_primary >= 0 order by 3 limit 100", "score_primary", 9),
         "seeds": f"with {_S} select user_id as seed, mca_score_primary, row_number() over (order by mca_score_primary desc, user_id)::int as place from s where mca_score_primary >= 0.5 order by 3 limit 20",
-        "seed_neighbours": sql_rounded(f"with {E}, {CO_T}, {_SEEDS}, {_ways('wt', 'cot', 'similarity')}\nSELECT seed, other as neighbour, w as weight, row_number() over (partition by seed order by w desc, other)::int as place from sd join wt on me = seed qualify row_number() over (partition by seed order by w desc, other) <= 10", "weight"),
+        "seed_neighbours": sql_rounded(f"with {E}, {CO_T}, {_SEEDS}, {_ways('wt', 'cot', 'similarity')}\nSELECT seed, other as neighbour, w as weight, row_number() over (partition by seed order by w desc, other)::int as place from sd join wt on me = seed qualify row_number() over (partition by seed order by w desc, other) <= 15", "weight"),
         "trigger_neighbours": sql_rounded(
-            f"with {C}, {P}, {TR}, {_SEEDS}, dn as (select a as seed, 'out' as direction, b as neighbour, round(w_trigger, 9) as weight from tr union all select b, 'in', a, round(w_trigger, 9) from tr)\nSELECT seed, direction, neighbour, weight, row_number() over (partition by seed, direction order by weight desc, neighbour)::int as place from dn join sd using (seed) qualify row_number() over (partition by seed, direction order by weight desc, neighbour) <= 10",
+            f"with {C}, {P}, {TR}, {_SEEDS}, dn as (select a as seed, 'out' as direction, b as neighbour, round(w_trigger, 9) as weight from tr union all select b, 'in', a, round(w_trigger, 9) from tr)\nSELECT seed, direction, neighbour, weight, row_number() over (partition by seed, direction order by weight desc, neighbour)::int as place from dn join sd using (seed) qualify row_number() over (partition by seed, direction order by weight desc, neighbour) <= 15",
             "weight",
         ),
         "tiered_expansion": sql_rounded(f"with {_GRAPH}, {_EXPAND}\nSELECT * from ex", "co_negative tag trigger co_target"),
@@ -294,7 +296,7 @@ def oracle_sql() -> dict[str, str]:
             when median_delay > 120 and (within_strong > 0 or within_moderate > 0) then 'fragile_long_median' when within_strong > 0 or within_moderate > 0 then 'moderate_review' else 'weak_context' end as confidence from pt""",
             "median_delay min_delay",
         ),
-        "member_pairs": f"with {_S}, {_MEMBERS}, m1 as (select distinct {sql_name('seed')} as seed, {sql_name('candidate')} as candidate from expansion_members where include and {sql_valid('seed')} and {sql_valid('candidate')}), m2 as (select seed, candidate from m1 join s on s.user_id = candidate qualify row_number() over (partition by seed order by coalesce(mca_score_primary, 0) desc, candidate) <= 50) select x.seed, x.candidate as a, y.candidate as b from m2 x join m2 y on x.seed = y.seed and x.candidate < y.candidate",
+        "member_pairs": f"with m as (select distinct {sql_name('seed')} as seed, {sql_name('candidate')} as candidate from expansion_members where include and {sql_valid('seed')} and {sql_valid('candidate')}) select x.seed, x.candidate as a, y.candidate as b from m x join m y on x.seed = y.seed and x.candidate < y.candidate",
         "sync_counts": f"select {sql_name('group_seed')} as seed, count(*) as pairs, " + ", ".join(f"count(*) filter (verification_label = '{v}') as n_{v}" for v in SYNC_LABELS) + f" from pair_evidence where {sql_valid('group_seed')} group by 1",
         "account_timing": f"with {_EV}, sides as (select a as account, {rank} as rank, label, delay from ev union all select b, {rank}, label, delay from ev) select account, count(*) as pairs, max(rank)::int as best_rank, max_by(label, rank) as best_label, count(*) filter (rank >= 2) as strong_pairs, min(delay) as min_delay from sides group by 1",
         "member_summary": sql_rounded(

@@ -72,17 +72,17 @@ rf0 as (select author as user_id, count(*) as posts, avg(rhetoric_score) as mean
 rf as (select *, {", ".join(f"n_{t} / ({' + '.join(f'n_{x}' for x in rhetoric.TAGS)}) as ratio_{t}" for t in rhetoric.TAGS)}, {" + ".join(f"n_{t}" for t in rhetoric.LOADED)} as loaded_tags, least(1, ({" + ".join(f"n_{t}" for t in rhetoric.LOADED)}) / posts) as loaded_per_post from rf0)"""
 _V = "[" + ", ".join(f"round(ratio_{t}, 9)" for t in rhetoric.LOADED) + ", round(mean_rhetoric / 100, 9)]"
 
+TAG = f"""tx as (select user_id, {_V} as v from rf where posts >= 2 and loaded_tags >= 2 and user_id in (select source from e union select target from e)),
+ts as (select a.user_id as me, b.user_id as other, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 9) as similarity from tx a join tx b on a.user_id <> b.user_id),
+tt as (select * from ts where similarity >= 0.75 qualify row_number() over (partition by me order by similarity desc, other) <= 10),
+tg as (select least(me, other) as a, greatest(me, other) as b, max(similarity) as similarity from tt group by 1, 2)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "rhetoric_posts": f"with {P}, {_R} select post_id, array_to_string(tags, ',') as tags, rhetoric_score from r",
         "rhetoric_features": sql_rounded(f"with {P}, {_R}\nSELECT * from rf", "mean_rhetoric loaded_per_post " + " ".join(f"ratio_{t}" for t in rhetoric.TAGS)),
-        "tag_similarity": sql_rounded(
-            f"""with {E}, {P}, {_R}, x as (select user_id, {_V} as v from rf where posts >= 2 and loaded_tags >= 2 and user_id in (select source from e union select target from e)),
-            s as (select a.user_id as me, b.user_id as other, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 9) as similarity from x a join x b on a.user_id <> b.user_id),
-            t as (select * from s where similarity >= 0.75 qualify row_number() over (partition by me order by similarity desc, other) <= 10)\nSELECT least(me, other) as a, greatest(me, other) as b, max(similarity) as similarity from t group by 1, 2""",
-            "similarity",
-        ),
+        "tag_similarity": sql_rounded(f"with {E}, {P}, {_R}, {TAG}\nSELECT * from tg", "similarity"),
         "hourly_events": "select user_id, (epoch_us(ts) // 3600000000) * 3600 as hour, count(*) as events from events where user_id is not null group by 1, 2",
         "event_sessions": """with g as (select user_id, epoch_us(ts) as t, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts) < 1800000000 then 0 else 1 end as new from events where user_id is not null and ts is not null),
             h as (select *, sum(new) over (partition by user_id order by t rows unbounded preceding) as s from g) select user_id, min(t) as start, max(t) + 1800000000 as end, count(*) as events from h group by user_id, s""",
