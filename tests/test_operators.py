@@ -39,7 +39,7 @@ def test_clamp_int(spark):
 def test_global_index_and_percentile(spark):
     values = [random.Random(1).randint(-3, 20) for _ in range(500)]
     df = spark.createDataFrame([(i, float(v) if v != 5 else None) for i, v in enumerate(values)], "id int, v double")
-    got = {r.id: r.p for r in ranking.positive_percentile(df, "v", "p").collect()}
+    got = {r.id: r.p for r in ranking.positive_percentile(df, "v", "p", "id").collect()}
     pos = sorted(float(v) for v in values if v > 0 and v != 5)
     for i, v in enumerate(values):
         if v <= 0 or v == 5:
@@ -66,9 +66,9 @@ def test_heavy_keys(spark):
     assert p["k1"].rows == 1 and p["k1"].other_distinct == 0 and p["k1"].other_mode is None
     q = {r.key: r for r in heavy_keys.percentiles(w, ["side", "key"], "score", {"lo": 0.2, "mid": 0.5, "hi": 1.0}).collect()}
     assert (q["hot"].lo, q["hot"].mid, q["hot"].hi) == (0.0, 2.0, 4.0)
-    assert rows(heavy_keys.heavy(w, ["side"], "key", 0.5).select("side", "key")) == [("s", "hot"), ("t", "u")]
+    assert rows(heavy_keys.heavy(w, ["side"], "key", 0.5, "other").select("side", "key")) == [("s", "hot"), ("t", "u")]
     empty = heavy_keys.compress(df.where("false"), ["side", "key"], {"score": F.col("score")})
-    assert heavy_keys.heavy(empty, ["side"], "key", 0.5).count() == 0
+    assert heavy_keys.heavy(empty, ["side"], "key", 0.5, "score").count() == 0
 
 
 def events():

@@ -54,3 +54,14 @@ def clamp_int(x: Column, low: int, high: int, default: int) -> Column:
     v = x.try_cast("double")
     ok = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(1e300))
     return F.when(ok, F.greatest(F.lit(low), F.least(F.lit(high), F.bround(F.greatest(F.lit(low - 1.0), F.least(F.lit(high + 1.0), v))).cast("int")))).otherwise(F.lit(default))
+
+
+def exact_mean(col: str, digits: int) -> Column:
+    """Mean over the non-null values taken at ``digits`` decimals: they are summed as whole numbers and
+    divided once, so the result doesn't depend on the order of rows."""
+    return F.sum(F.round(F.col(col) * F.lit(10.0**digits)).cast("long")) / (F.lit(10.0**digits) * F.count(col))
+
+
+def sql_mean(col: str, digits: int) -> str:
+    """The same mean for the DuckDB oracle."""
+    return f"(sum(round({col} * 1e{digits})::bigint)::double / (1e{digits} * count({col})))"

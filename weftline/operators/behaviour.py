@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.text import ratio_or_zero
+from weftline.functions.text import exact_mean, ratio_or_zero
 from weftline.operators.cleaning import LABELS
+from weftline.operators.ranking import quantiles
 
 
 def stance_features(comments: DataFrame) -> DataFrame:
     """Score statistics (population deviation), breadth and label ratios of each source account."""
     return comments.groupBy(F.col("source").alias("user_id")).agg(
-        F.count("*").alias("comments"), F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"), F.max("score").alias("max_score"), F.min("score").alias("min_score"),
-        F.avg("weight").alias("mean_weight"), F.avg("chars").alias("mean_chars"), F.countDistinct("target").alias("targets"), F.countDistinct("post_id").alias("posts"),
+        F.count("*").alias("comments"), exact_mean("score", 6).alias("mean_score"), F.stddev_pop("score").alias("std_score"), F.max("score").alias("max_score"), F.min("score").alias("min_score"),
+        exact_mean("weight", 9).alias("mean_weight"), F.avg("chars").alias("mean_chars"), F.countDistinct("target").alias("targets"), F.countDistinct("post_id").alias("posts"),
         *[(F.count_if(F.col("label") == x) / F.count("*")).alias(f"ratio_{x}") for x in LABELS],
     )
 
@@ -23,11 +24,16 @@ def span_days(first: Column, last: Column) -> Column:
 
 
 def activity(events: DataFrame, entity: str, ts: str) -> DataFrame:
-    """Volume, span, rate, interval and clock features of an event table that is one row per event:
-    one shuffle for the counters, one sorted window for the intervals."""
-    e = events.where(F.col(entity).isNotNull() & F.col(ts).isNotNull()).select(F.col(entity).alias("user_id"), F.col(ts).alias("ts"))
-    e = e.withColumns({"gap": F.col("ts") - F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts")), "hour": F.floor(F.col("ts") / 3600)})
+    """Volume, span, rate, interval and clock features of an event table that is one row per event.
+
+    Gaps are taken inside each (account, clock hour) and between its hours, so that no task sorts
+    all events of a busy account: what is sorted per account is one row per active hour."""
+    e = events.where(F.col(entity).isNotNull() & F.col(ts).isNotNull()).select(F.col(entity).alias("user_id"), F.col(ts).alias("ts"), F.floor(F.col(ts) / 3600).alias("hour"))
+    e = e.withColumn("gap", F.col("ts") - F.lag("ts").over(Window.partitionBy("user_id", "hour").orderBy("ts")))
     hours = e.groupBy("user_id", "hour").agg(F.count("*").alias("k"), F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.sum("gap").alias("g"), F.sum(F.col("gap") * F.col("gap")).alias("g2"), F.count("gap").alias("gn"), F.min("gap").alias("gmin"))
+    hours = hours.withColumn("link", F.col("t0") - F.lag("t1").over(Window.partitionBy("user_id").orderBy("hour")))
+    link = F.coalesce("link", F.lit(0.0))
+    hours = hours.withColumns({"g": F.coalesce("g", F.lit(0.0)) + link, "g2": F.coalesce("g2", F.lit(0.0)) + link * link, "gn": F.col("gn") + F.col("link").isNotNull().cast("int"), "gmin": F.least("gmin", "link")})
     day = F.pmod(F.floor(F.col("hour") / 24) + 3, F.lit(7))
     a = hours.groupBy("user_id").agg(
         F.sum("k").alias("events"), F.min("t0").alias("first"), F.max("t1").alias("last"), F.sum("g").alias("g"), F.sum("g2").alias("g2"), F.sum("gn").alias("gn"), F.min("gmin").alias("min_interval"),
@@ -58,7 +64,7 @@ def anomaly(features: DataFrame, columns: list[str], contamination: float = 0.05
     stats = f.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns])
     square = sum((F.pow((F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"s_{c}")), F.lit(2.0)) for c in columns), F.lit(0.0))
     d = f.crossJoin(F.broadcast(stats)).select("user_id", F.sqrt(square).alias("distance"))
-    cut = d.agg(F.percentile("distance", F.lit(1 - contamination)).alias("cutoff"), F.percentile("distance", F.lit(0.99)).alias("far"))
+    cut = quantiles(d, [], "distance", {"cutoff": 1 - contamination, "far": 0.99})
     s = d.crossJoin(F.broadcast(cut))
     return s.select("user_id", "distance", F.when(F.col("distance") >= F.col("cutoff"), -1).otherwise(1).alias("anomaly_label"), (F.col("cutoff") - F.col("distance")).alias("anomaly_score"), (F.col("distance") >= F.col("far")).alias("is_extreme_outlier"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.ranking import top_rows, weighted_ranks
+from weftline.operators.ranking import quantiles, top_rows, weighted_ranks
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -30,8 +30,10 @@ def top_overlap(df: DataFrame, key: str, x: str, y: str, sizes: tuple[int, ...])
 def sparsity(df: DataFrame, columns: list[str]) -> DataFrame:
     """(signal, rows, positive, positive_share, mean, p90, p95) per column; missing counts as 0."""
     each = F.array(*[F.struct(F.lit(c).alias("signal"), F.coalesce(F.when(~F.isnan(c), F.col(c)), F.lit(0.0)).alias("v")) for c in columns])
-    g = df.select(F.inline(each)).groupBy("signal").agg(F.count("*").alias("rows"), F.count_if(F.col("v") > 0).alias("positive"), F.avg("v").alias("mean"), F.percentile("v", F.array(F.lit(0.9), F.lit(0.95))).alias("q"))
-    return g.select("signal", "rows", "positive", (F.col("positive") / F.col("rows")).alias("positive_share"), "mean", F.col("q")[0].alias("p90"), F.col("q")[1].alias("p95"))
+    long = df.select(F.inline(each))
+    g = long.groupBy("signal").agg(F.count("*").alias("rows"), F.count_if(F.col("v") > 0).alias("positive"), F.avg("v").alias("mean"))
+    q = quantiles(long, ["signal"], "v", {"p90": 0.9, "p95": 0.95})
+    return g.join(q, "signal").select("signal", "rows", "positive", (F.col("positive") / F.col("rows")).alias("positive_share"), "mean", "p90", "p95")
 
 
 def sweep(pairs: DataFrame, weight: str, thresholds: tuple[float, ...]) -> DataFrame:

@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.text import ratio_or_zero
+from weftline.functions.text import exact_mean, ratio_or_zero
 from weftline.operators.cleaning import LABELS
 from weftline.operators.components import components
-from weftline.operators.ranking import global_index, top_per_group
+from weftline.operators.ranking import global_index, quantiles, top_per_group
 
 
 def edge_stats(comments: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def edge_stats(comments: DataFrame) -> DataFrame:
     """
     n = F.count("*")
     s = comments.groupBy("source", "target").agg(
-        n.alias("n"), F.avg("score").alias("mean_score"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("std_score"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.avg("weight").alias("mean_weight"),
+        n.alias("n"), exact_mean("score", 6).alias("mean_score"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("std_score"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), exact_mean("weight", 9).alias("mean_weight"),
         *[F.count_if(F.col("label") == x).alias(f"n_{x}") for x in LABELS],
     )
     signed = F.col("mean_weight") * F.log1p("n")
@@ -33,7 +33,7 @@ def degree_adjusted(edges: DataFrame, share: float = 0.99) -> DataFrame:
     """Edge volume damped for busy ends: n / (1 + exp(out / p99_out + in / p99_in - 2))."""
     out = edges.groupBy("source").agg(F.sum("n").alias("out"))
     into = edges.groupBy("target").agg(F.sum("n").alias("in"))
-    high = out.agg(F.percentile("out", F.lit(share)).alias("p_out")).crossJoin(into.agg(F.percentile("in", F.lit(share)).alias("p_in")))
+    high = quantiles(out, [], "out", {"p_out": share}).crossJoin(quantiles(into, [], "in", {"p_in": share}))
     x = F.coalesce(F.try_divide("out", "p_out") + F.try_divide("in", "p_in") - 2, F.lit(50.0))
     j = edges.select("source", "target", "n").join(out, "source").join(into, "target").crossJoin(F.broadcast(high))  # one row
     return j.select("source", "target", (F.col("n") / (1 + F.exp(F.greatest(F.lit(-50.0), F.least(F.lit(50.0), x))))).alias("w_adjusted"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.ranking import positive_percentile, top_rows
+from weftline.operators.ranking import positive_percentiles, top_rows
 
 # Weights of the manipulative, coordinative, reach and automatic signals by profile.
 PROFILES = {
@@ -21,18 +21,13 @@ PROFILES = {
 SIGNALS = ("manipulative", "coordinative", "reach", "automatic")
 
 
-def normalised(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Adds, for each ``raw -> out``, the positive percentile of the raw column."""
-    return reduce(lambda d, c: positive_percentile(d, c[0], c[1]), columns.items(), df)
-
-
 def signals(accounts: DataFrame) -> DataFrame:
     """The four signals. ``accounts`` has user_id, opposed_ratio, out_n, in_n, breadth, co_target,
     co_negative, trigger_out, trigger_in, anomaly_score, rhetoric and nonneutral (all nullable)."""
     base = accounts.select("user_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in accounts.columns if c != "user_id"])
     base = base.withColumn("unusual", F.greatest(F.lit(0.0), -F.col("anomaly_score")))
     raw = {c: f"p_{c}" for c in ("rhetoric", "nonneutral", "opposed_ratio", "out_n", "in_n", "breadth", "co_target", "co_negative", "trigger_out", "trigger_in", "unusual")}
-    n = normalised(base, raw)
+    n = positive_percentiles(base, "user_id", raw)
     trigger = 0.5 * F.col("p_trigger_out") + 0.5 * F.col("p_trigger_in")
     return n.select(
         "user_id", (0.40 * F.col("p_rhetoric") + 0.35 * F.col("p_nonneutral") + 0.25 * F.col("p_opposed_ratio")).alias("manipulative"),

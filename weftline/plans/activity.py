@@ -48,7 +48,8 @@ def weighted(spark: SparkSession, folder: str, *attributes: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return heavy_keys.heavy(weighted(spark, folder, *ATTRIBUTES), ["side"], "account", HEAVY_SHARE).select("side", "account")
+    """Accounts with a large share of the comments of a side, from their weighted partners."""
+    return heavy_keys.heavy(weighted(spark, folder, "other"), ["side"], "account", HEAVY_SHARE, "other").select("side", "account")
 
 
 def p6_profiles(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.accounts import sql_finite, sql_name, sql_valid
-from weftline.functions.text import chunks, clean, normalize, safe_filename
+from weftline.functions.text import chunks, clean, normalize, safe_filename, sql_mean
 from weftline.operators import cleaning, graph
 from weftline.operators.cleaning import LABELS
 from weftline.operators.graph import Projection
@@ -138,7 +138,7 @@ _R = ", ".join(f"n_{x} / n as ratio_{x}" for x in LABELS)
 E = (
     C
     + f""",
-e0 as (select source, target, count(*) as n, avg(score) as mean_score, coalesce(stddev_samp(score), 0) as std_score, min(score) as min_score, max(score) as max_score, avg(weight) as mean_weight, {_N} from c group by 1, 2),
+e0 as (select source, target, count(*) as n, {sql_mean("score", 6)} as mean_score, coalesce(stddev_samp(score), 0) as std_score, min(score) as min_score, max(score) as max_score, {sql_mean("weight", 9)} as mean_weight, {_N} from c group by 1, 2),
 e as (select *, {_R}, n::double as w_count, ln(1 + n) as w_log, mean_weight * ln(1 + n) as w_signed, greatest(mean_weight * ln(1 + n), 0) as w_positive, greatest(-mean_weight * ln(1 + n), 0) as w_negative, ln(1 + n_oppositional) as w_opposed from e0)"""
 )
 

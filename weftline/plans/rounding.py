@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[(F.round(F.col(f"`{c}`"), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+    # scaled, rounded and scaled back, as DuckDB does it: equal doubles stay equal
+    scale = F.lit(10.0**digits)
+    return df.select(*[(F.round(F.col(f"`{c}`") * scale) / scale + F.lit(0.0)).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 def sql_rounded(sql: str, columns: str, digits: int = 6) -> str:
