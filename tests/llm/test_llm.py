@@ -4,14 +4,16 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.llm.classes import member_pairs
 from weftline.llm.clusters import Density, all_alike, density_clusters
 from weftline.llm.content import ContentModel, content_scores
-from weftline.llm.groups import connected_groups
+from weftline.llm.groups import connected_groups, peeled_groups
 from weftline.llm.mixing import mix_copies, shares
-from weftline.llm.near_duplicates import NearDuplicates, near_duplicate_groups, near_duplicate_pairs
+from weftline.llm.near_duplicates import NearDuplicates, _block_pairs, near_duplicate_groups, near_duplicate_pairs
 from weftline.llm.sentences import sentences
 from weftline.llm.set_pairs import SetJoin, merge_skip, set_pairs
 from weftline.llm.tokens import Tokenizer, _encoder, corpus_ids, cuts, join, split
@@ -89,6 +91,19 @@ def test_groups_with_giant_tail_and_chains(spark):
     assert connected_groups(spark.createDataFrame([], "a string, b string"), "a", "b").count() == 0
 
 
+def test_groups_peel_the_giant(spark):
+    """The giant with the hub is peeled whole, then the next large one; what is left is labelled."""
+    links = [("hub", f"h{i:02}") for i in range(30)] + [(f"h{i:02}", f"t{i:02}") for i in range(20)] + [("two", f"w{i:02}") for i in range(20)]
+    links += [(f"c{i:03}", f"c{i + 1:03}") for i in range(60)] + [("p", "q"), ("t19", "u0"), ("u0", "u1")]
+    got = {r.vertex: (r.group_id, r.peel) for r in peeled_groups(spark.createDataFrame(links, "a string, b string"), "a", "b", 0.25).collect()}
+    assert {v: g for v, (g, _) in got.items()} == union_find(links)
+    peels = {n: {v for v, (_, p) in got.items() if p == n} for n in {p for _, p in got.values()}}
+    assert len(peels[1]) == 53 and "hub" in peels[1] and len(peels[1]) / len(got) > 0.25  # the share peeled
+    label = union_find(links)
+    for n, found in peels.items():  # whole components, one a peel
+        assert {v for v in label if label[v] in {label[x] for x in found}} == found and (n == 0 or len({label[x] for x in found}) == 1)
+
+
 # p3
 
 
@@ -184,6 +199,39 @@ def test_near_duplicates_against_brute_force(spark):
     assert {(label[a] == label[b]) == (g[a].group_id == g[b].group_id) for a in label for b in label} == {True}
 
 
+def test_large_blocks_are_cut_into_tiles(spark):
+    """Blocks far larger than a tile give the same pairs as the plain join, each block once."""
+    r = np.random.default_rng(3)
+    keys = np.sort(np.concatenate([np.full(40, 7), np.full(3, 8), np.full(1, 9), r.integers(10, 60, 90)]))
+    cls = r.integers(0, 500, len(keys))
+    rows_ = sorted({(int(k), int(c)) for k, c in zip(keys, cls, strict=True)})
+    rows_ += rows_[:5]  # repeated rows
+    rows_ = sorted(rows_)
+    want = {(a, b) for k in set(keys.tolist()) for a in {c for q, c in rows_ if q == k} for b in {c for q, c in rows_ if q == k} if a < b}
+    for size in (1, 5, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows_[i : i + size]], pa.int64()), pa.array([c for _, c in rows_[i : i + size]], pa.int64())], names=["key", "cls"]) for i in range(0, len(rows_), size)]
+        for tile in (2, 8, 512):
+            got, large = set(), {}
+            for b in _block_pairs(tile)(iter(batches)):
+                for k, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if y is None:
+                        large.setdefault(k, []).append(x)
+                    else:
+                        got.add((x, y))
+            assert all(len(v) > tile and len(v) == len(set(v)) for v in large.values())
+            assert got | {(a, b) for v in large.values() for a in v for b in v if a < b} == want
+
+
+@pytest.mark.parametrize("block", [1, 3, 256])
+def test_member_pairs_in_blocks(spark, block):
+    m = {"A": [f"a{i}" for i in range(7)], "B": [f"b{i}" for i in range(5)], "C": ["c0"]}
+    members = spark.createDataFrame([(x, c) for c, xs in m.items() for x in xs], "id string, cls string")
+    pairs = spark.createDataFrame([("A", "B", 1), ("A", "A", 2), ("B", "C", 3), ("C", "C", 4)], "a string, b string, shared int")
+    got = [(frozenset((r.x, r.y)), r.shared) for r in member_pairs(pairs, members, block).collect()]
+    want = {(frozenset((x, y)), s) for a, b, s in (("A", "B", 1), ("A", "A", 2), ("B", "C", 3), ("C", "C", 4)) for x in m[a] for y in m[b] if x != y}
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_near_duplicates_empty(spark):
     df = spark.createDataFrame([("a", "too short")], "id string, text string")
     assert near_duplicate_pairs(df, F.col("id"), F.col("text"), NearDuplicates()).count() == 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.accounts import finite, name, sql_finite, sql_name, sql_valid, valid, valid_name
 from weftline.llm.groups import connected_groups
-from weftline.llm.set_pairs import SetJoin, set_pairs
+from weftline.llm.set_pairs import SetJoin, record_classes, set_pairs
 from weftline.llm.top_items import top_items
 from weftline.sources.tables import table
 
@@ -15,10 +15,18 @@ MIN_WEIGHT = 0.3
 TOP_N = 10
 
 
+def _targets(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "analyzed_comments").where(valid("source_author") & valid("target_author") & (name("source_author") != name("target_author")))
+
+
+def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each source account with at least three targets: its class of equal target sets and its links."""
+    return record_classes(_targets(spark, folder), name("source_author"), name("target_author"), SetJoin(0.6, 3)).withColumnRenamed("record", "account")
+
+
 def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of source accounts with largely the same targets, and how many they share."""
-    c = table(spark, folder, "analyzed_comments").where(valid("source_author") & valid("target_author") & (name("source_author") != name("target_author")))
-    p = set_pairs(c, name("source_author"), name("target_author"), SetJoin(0.6, 3))
+    p = set_pairs(_targets(spark, folder), name("source_author"), name("target_author"), SetJoin(0.6, 3))
     return p.select(
         F.col("record_lo").alias("account_lo"), F.col("record_hi").alias("account_hi"), F.col("shared").alias("shared_target_count"),
         (F.col("shared") / (F.col("size_lo") + F.col("size_hi") - F.col("shared"))).alias("overlap"),
@@ -61,7 +69,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_top(spark, folder).select("seed", "candidate")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_top": p4_top}
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p1_classes": p1_classes, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_top": p4_top}
 
 _P1 = f"""st as (select distinct {sql_name("source_author")} as s, {sql_name("target_author")} as t from analyzed_comments
         where {sql_valid("source_author")} and {sql_valid("target_author")} and {sql_name("source_author")} <> {sql_name("target_author")}),
@@ -85,6 +93,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"with {_P1} select account_lo, account_hi from p",
         "p1_pairs": f"with {_P1} select * from p",
+        "p1_classes": f"""with {_P1}, ls as (select s as account, list_sort(list(t)) as l from st group by 1 having count(*) >= 3), k as (select *, min(account) over (partition by l) as class_id, count(*) over (partition by l) as copies from ls),
+            n as (select account, count(distinct class_id) as links from (select p.account_lo as account, k.class_id from p join k on k.account = p.account_hi union all select p.account_hi, k.class_id from p join k on k.account = p.account_lo) x join (select account, class_id as own from k) o using (account) where class_id <> own group by 1)
+            select account, class_id, copies, coalesce(links, 0) as links from k left join n using (account)""",
         "p2_found": f"with recursive {_P2} select * from g",
         "p2_groups": f"with recursive {_P2} select group_id, count(*) as accounts, any_value(links) as links, any_value(w) as max_weight from g join (select group_id, count(*) as links, max(w) as w from l1 join g on g.account = a group by 1) using (group_id) group by 1",
         "p4_found": f"with {_P4} select seed, candidate from t where r <= {TOP_N}",

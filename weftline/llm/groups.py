@@ -1,14 +1,15 @@
 """Consolidating pairwise matches into groups (connected components of the link graph).
 
-The giant component is peeled first: from the vertex of the highest degree a frontier search runs
-as joins, one level a round; what it reached is anti-joined away. Small components are then
-labelled by minimum propagation: in each round every vertex takes the smallest vertex among itself
-and its neighbours, pointers are shortened, and the graph is contracted to the vertices pointed
-at, so long chains take a logarithmic number of rounds. If the peeled component has a long tail (a
-level that adds under ``tail`` of what is reached, after ``min_levels`` levels), the search stops
-and what it reached goes on as one contracted vertex, so that no diameter bounds the number of
-jobs. Nothing but single numbers and the start vertex comes to the driver; each round is
-checkpointed.
+The giant component is peeled first: from the vertex of the highest degree a breadth-first search
+runs as frontier joins, one level a round. What a level reached is anti-joined away at once, so the
+hub's many links are never joined again. While the frontier moves, the rest of the graph takes one
+round of minimum propagation with each level (every vertex takes the smallest vertex next to it,
+pointers are shortened, the graph is contracted), so a long tail shrinks ahead of the frontier and no
+diameter bounds the number of rounds: it is logarithmic in the worst case. When the frontier is
+empty, its whole component has been peeled. If that held at least ``giant`` of all vertices, the next
+component is peeled in the same way from the hub of what remains; the small components that are left
+finish by minimum propagation. Nothing but single numbers comes to the driver; each round is
+checkpointed. No size, level or tail ends a search early.
 
 Defined cases: links with a null end are left out; a vertex linked to itself is a group of its
 own unless it has other links; repeated and reversed links count once; an empty table gives no
@@ -21,56 +22,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.components import propagate
+from weftline.operators.components import contract, mirrored, moved, propagate
 from weftline.plans.lineage import cut
 
 
-def _peel(edges: DataFrame, tail: float, min_levels: int) -> tuple[DataFrame, bool]:
-    """Vertices reached from the vertex of the highest degree (column v), and whether that is
-    its whole component."""
-    start = edges.groupBy("a").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "a").limit(1).select(F.col("a").alias("v"))
-    reached = frontier = cut(start)
-    total, level = 1, 0
+def peel(edges: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """The component of the vertex of the highest degree: (reached labels v, the edges without it,
+    the labels as moved by contraction, levels)."""
+    hub = edges.groupBy("a").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "a").limit(1).select(F.col("a").alias("v"))
+    reached = frontier = cut(hub)
+    level = 0
     while True:
         level += 1
         step = edges.join(frontier, edges.a == frontier.v).select(F.col("b").alias("v")).distinct()
-        frontier = cut(step.join(reached, "v", "left_anti"))
-        added = frontier.count()
-        if not added:
-            return reached, True
+        step = cut(step.join(frontier, "v", "left_anti"))
+        gone = frontier.select(F.col("v").alias("a"))
+        edges = cut(edges.join(gone, "a", "left_anti").join(gone.toDF("b"), "b", "left_anti").select("a", "b"))
+        if step.isEmpty():
+            return reached, edges, labels, level
+        to, edges = contract(edges)
+        labels = cut(moved(labels, to))
+        frontier = cut(moved(step.select("v", F.lit(1).alias("one")), to.withColumnRenamed("v", "x").select(F.col("x").alias("v"), "m"), "v").select("v").distinct())
         reached = reached.unionByName(frontier) if level % 4 else cut(reached.unionByName(frontier))
-        total += added
-        if level >= min_levels and added < tail * total:
-            return reached, False
 
 
-def connected_groups(links: DataFrame, a: str, b: str, tail: float = 0.05, min_levels: int = 3) -> DataFrame:
+def peeled_groups(links: DataFrame, a: str, b: str, giant: float = 0.05) -> DataFrame:
+    """(vertex, group_id, peel): ``peel`` is the number of the peeled component from 1, 0 for the rest."""
+    both = cut(mirrored(links, a, b))
+    labels = both.select(F.col("a").alias("vertex"), F.col("a").alias("group_id")).distinct()
+    vertices = labels.count()
+    edges, parts, number = both, None, 0
+    while not edges.isEmpty():
+        number += 1
+        reached, edges, labels, _ = peel(edges, labels)
+        part = cut(labels.join(reached.select(F.col("v").alias("group_id")), "group_id", "left_semi").select("vertex", F.lit(number).alias("peel")))
+        parts = part if parts is None else parts.unionByName(part)
+        if part.count() < giant * vertices:
+            break
+    labels = propagate(edges, labels)
+    if parts is None:
+        return labels.withColumn("peel", F.lit(0))
+    least = parts.groupBy("peel").agg(F.min("vertex").alias("least"))
+    # one row per peeled component, at most 1 / giant + 1
+    named = parts.join(F.broadcast(least), "peel")
+    return labels.join(named, "vertex", "left").select("vertex", F.coalesce("least", "group_id").alias("group_id"), F.coalesce("peel", F.lit(0)).alias("peel"))
+
+
+def connected_groups(links: DataFrame, a: str, b: str, giant: float = 0.05) -> DataFrame:
     """Columns ``vertex`` and ``group_id`` for every vertex of the links."""
-    pairs = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    pairs = cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    loops = pairs.where(F.col("a") == F.col("b")).select(F.col("a").alias("vertex"), F.col("a").alias("group_id"))
-    pairs = pairs.where(F.col("a") != F.col("b"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    if both.isEmpty():
-        return loops
-    reached, whole = _peel(both, tail, min_levels)
-    reached = cut(reached)
-    least = reached.agg(F.min("v").alias("group_id"))
-    # least is one row
-    giant = reached.crossJoin(F.broadcast(least)).select(F.col("v").alias("vertex"), "group_id")
-    if whole:
-        rest = both.join(reached, both.a == reached.v, "left_anti")
-    else:
-        r1, r2 = giant.select(F.col("vertex").alias("a"), F.col("group_id").alias("ga")), giant.select(F.col("vertex").alias("b"), F.col("group_id").alias("gb"))
-        rest = both.join(r1, "a", "left").join(r2, "b", "left").select(F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b"))
-        rest = rest.where(F.col("a") != F.col("b")).distinct()
-    rest = cut(rest)
-    labels = rest.select(F.col("a").alias("vertex"), F.col("a").alias("group_id")).distinct()
-    labels = propagate(rest, labels)
-    if not whole:
-        moved = labels.select(F.col("vertex").alias("group_id"), F.col("group_id").alias("to"))
-        giant = giant.join(moved, "group_id", "left").select("vertex", F.coalesce("to", "group_id").alias("group_id"))
-        inner = giant.select("vertex")
-        labels = labels.join(inner, "vertex", "left_anti")
-    done = giant.unionByName(labels)
+    done = peeled_groups(links, a, b, giant).select("vertex", "group_id")
+    loops = links.where(F.col(a) == F.col(b)).select(F.col(a).alias("vertex"), F.col(a).alias("group_id")).distinct()
     return done.unionByName(loops.join(done.select("vertex"), "vertex", "left_anti"))

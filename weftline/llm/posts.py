@@ -23,7 +23,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     g = near_duplicate_groups(table(spark, folder, "posts"), F.col("post_id"), F.col("analysis_text"), POSTS)
-    return g.select(F.col("id").alias("post_id"), F.col("cls").alias("class_id"), "copies", "links", "group_id")
+    return g.withColumnRenamed("id", "post_id")
 
 
 QUERIES = {"p5_found": p5_found, "p5_pairs": p5_pairs, "p5_groups": p5_groups}
@@ -39,4 +39,11 @@ _P5 = """t as (select post_id, any_value(analysis_text) as x from posts where po
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": f"with {_P5} select post_id_a, post_id_b from p", "p5_pairs": f"with {_P5} select * from p"}
+    groups = """u as (select post_id, list_sort(s) as s from s where len(w) >= 20),
+    c1 as (select post_id, min(post_id) over (partition by s) as class_id, count(*) over (partition by s) as copies from u),
+    q as (select distinct x.class_id as a, y.class_id as b from p join c1 x on x.post_id = post_id_a join c1 y on y.post_id = post_id_b where x.class_id <> y.class_id),
+    d as (select a, b from q union select b, a from q),
+    r(v, u) as (select class_id, class_id from c1 union select r.v, d.b from r join d on d.a = r.u),
+    m as (select v, min(u) as group_id from r group by 1), n as (select a, count(*) as links from d group by 1)
+    select post_id, class_id, copies, coalesce(links, 0) as links, group_id from c1 join m on m.v = class_id left join n on n.a = class_id"""
+    return {"p5_groups": f"with recursive {_P5.replace(' as s from w where', ' as s, w from w where')}, {groups}", "p5_found": f"with {_P5} select post_id_a, post_id_b from p", "p5_pairs": f"with {_P5} select * from p"}

@@ -10,10 +10,11 @@ heap that skips ahead whenever fewer than T - L lists agree, and what the merge
 completed by binary search in the L long lists. Record positions are sorted by set size, so a
 probe only looks at the window of admissible sizes.
 
-Skew: values of small lists share a partition of about ``tile`` records; a value in the prefix of
-more records than that gets tiles of its own, each joining two blocks of at most about ``tile``
-records, so no task or buffer grows with a value's frequency. Equal sets are joined once, through
-a representative.
+Skew: values of small lists share a partition of about ``tile`` records and ``tile_values`` values; a
+value in the prefix of more gets tiles of its own, each joining two blocks of at most about that
+many, so no task or buffer grows with a value's frequency. Only (record, value) travels until the
+tiles of a record are known; its whole set is attached then, once per tile. Equal sets are one
+class and are joined once; pairs of their members are made in blocks.
 
 Defined cases: null records or values are left out; repeated (record, value) rows count once; a
 record with fewer than ``min_overlap`` values has no pairs; an empty table gives no rows. Columns
@@ -34,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.arrow import runs
+from weftline.llm.classes import member_pairs
 from weftline.plans.lineage import cut, shuffle_partitions
 
 _EPS = 1e-9
@@ -44,6 +46,7 @@ class SetJoin:
     threshold: float = 0.6  # common / union
     min_overlap: int = 3
     tile: int = 4096  # records per partition of inverted lists
+    tile_values: int = 1 << 21  # and values
 
     def need(self, a: int, b: int) -> int:
         """Least overlap of two sets of these sizes."""
@@ -161,28 +164,40 @@ def class_pairs(classes: DataFrame, cfg: SetJoin) -> DataFrame:
     spark = classes.sparkSession
     n = F.size("vals")
     keep = n - F.greatest(F.lit(cfg.min_overlap), F.ceil(F.lit(cfg.threshold) * n - F.lit(_EPS))) + 1
-    prefix = classes.withColumn("value", F.explode(F.slice("vals", F.lit(1), keep.cast("int"))))
-    counts = prefix.groupBy("value").agg(F.count("*").alias("n"))
+    prefix = classes.select("rec", n.alias("size"), F.explode(F.slice("vals", F.lit(1), keep.cast("int"))).alias("value"))
+    counts = prefix.groupBy("value").agg(F.count("*").alias("n"), F.sum("size").alias("held"))
     # a value in one prefix only can't be the first shared value of any pair
-    counts = cut(counts.where(F.col("n") > 1))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    load = F.greatest(F.col("n") / F.lit(float(cfg.tile)), F.col("held") / F.lit(float(cfg.tile_values)))
+    counts = cut(counts.where(F.col("n") > 1).select("value", load.alias("load")))
+    total = counts.agg(F.sum("load")).first()[0] or 0
     if not total:
         return spark.createDataFrame([], "a long, b long, shared long")
-    buckets = max(1, -(-int(total) // cfg.tile))
-    blocks = F.ceil(F.col("n") / F.lit(cfg.tile)).cast("int")
-    entries = prefix.join(counts, "value")
-    light = entries.where(F.col("n") <= cfg.tile).select(F.pmod("value", F.lit(buckets)).cast("long").alias("tile"), "rec", "vals", "value")
+    buckets = max(1, math.ceil(total))
+    blocks = F.ceil("load").cast("int")
+    entries = prefix.select("rec", "value").join(counts, "value")
     # a record with several prefix values in one bucket is sent there once
-    light = light.groupBy("tile", "rec").agg(F.first("vals").alias("vals"), F.collect_list("value").alias("own")).select("tile", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), "rec", "vals", "own")
+    light = entries.where(F.col("load") <= 1).groupBy(F.pmod("value", F.lit(buckets)).cast("long").alias("tile"), "rec").agg(F.collect_list("value").alias("own"))
+    light = light.select("tile", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), "rec", "own")
     mine = F.pmod(F.xxhash64("rec", F.lit(7)), blocks).cast("int")
-    heavy = entries.where(F.col("n") > cfg.tile).withColumns({"blocks": blocks, "mine": mine})
+    heavy = entries.where(F.col("load") > 1).withColumns({"blocks": blocks, "mine": mine})
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "mine").alias("i"), F.greatest(k, "mine").alias("j")))
     # tiles of one heavy value are numbered below zero, those of buckets from zero
-    heavy = heavy.select((-1 - F.pmod("value", F.lit(1 << 62))).alias("tile"), F.inline(tiles), "mine", "rec", "vals", F.array("value").alias("own"))
-    heavy = heavy.select("tile", "i", "j", F.when(F.col("i") == F.col("j"), 2).when(F.col("mine") == F.col("i"), 1).otherwise(0).alias("side"), "rec", "vals", "own")
-    sent = light.unionByName(heavy)
+    heavy = heavy.select((-1 - F.pmod("value", F.lit(1 << 62))).alias("tile"), F.inline(tiles), "mine", "rec", F.array("value").alias("own"))
+    heavy = heavy.select("tile", "i", "j", F.when(F.col("i") == F.col("j"), 2).when(F.col("mine") == F.col("i"), 1).otherwise(0).alias("side"), "rec", "own")
+    sent = light.unionByName(heavy).join(classes.select("rec", "vals"), "rec")
     sent = sent.repartition(shuffle_partitions(spark), "tile", "i", "j").sortWithinPartitions("tile", "i", "j")
-    return sent.mapInArrow(_tile_pairs(cfg), "a long, b long, shared long")
+    return sent.select("tile", "i", "j", "side", "rec", "vals", "own").mapInArrow(_tile_pairs(cfg), "a long, b long, shared long")
+
+
+def record_classes(rows: DataFrame, record: Column, value: Column, cfg: SetJoin = SetJoin()) -> DataFrame:
+    """(record, class_id, copies, links): the whole result without pairs of records. ``class_id`` is
+    the smallest record with the same set, ``copies`` how many have it, ``links`` to how many other
+    classes it is linked."""
+    members, classes = set_classes(cut(value_sets(rows, record, value, cfg.min_overlap)))
+    pairs = class_pairs(classes, cfg)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("rec")).groupBy("rec").agg(F.count("*").alias("links"))
+    per = members.groupBy("rec").agg(F.min("record").alias("class_id"), F.count("*").alias("copies")).join(links, "rec", "left")
+    return members.join(per, "rec").select("record", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def set_pairs(rows: DataFrame, record: Column, value: Column, cfg: SetJoin = SetJoin()) -> DataFrame:
@@ -192,9 +207,10 @@ def set_pairs(rows: DataFrame, record: Column, value: Column, cfg: SetJoin = Set
     members, classes = set_classes(sets)
     pairs = class_pairs(classes, cfg)
     own = members.groupBy("rec").agg(F.count("*").alias("n"), F.first("size").alias("shared")).where("n > 1")
-    pairs = pairs.unionByName(own.select(F.col("rec").alias("a"), F.col("rec").alias("b"), F.col("shared").cast("long")))
-    left, right = members.toDF("ra", "a", "na"), members.toDF("rb", "b", "nb")
-    both = pairs.join(left, "a").join(right, "b").where((F.col("a") != F.col("b")) | (F.col("ra") < F.col("rb")))
+    pairs = cut(pairs.unionByName(own.select(F.col("rec").alias("a"), F.col("rec").alias("b"), F.col("shared").cast("long"))))
+    size = members.select("rec", "size").distinct()
+    pairs = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
+    both = member_pairs(pairs, members.select(F.col("record").alias("id"), F.col("rec").alias("cls"))).withColumnsRenamed({"x": "ra", "y": "rb"})
     lo = F.col("ra") < F.col("rb")
     return both.select(
         F.least("ra", "rb").alias("record_lo"), F.greatest("ra", "rb").alias("record_hi"), "shared",
