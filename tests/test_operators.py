@@ -118,6 +118,25 @@ def test_entity_features_against_brute_force(spark, hot):
         assert (g.event_count, g.first_time, g.last_time, g.active_hours, g.max_events_per_hour, g.night_activity_ratio, g.amount_total, g.amount_min, g.n_a, g.last_a) == pytest.approx(w), user
 
 
+def test_entity_features_with_hundreds_of_types(spark):
+    """Sparse counters of 300 types, batches and blocks far smaller than an entity."""
+    r = random.Random(11)
+    types = tuple(f"k{i}" for i in range(300))
+    data = [(f"u{r.randint(0, 40)}", float(r.randint(0, 10**6)), f"e{i}", f"k{int(r.expovariate(0.02)) % 310}", float(r.randint(0, 9)), "", 1) for i in range(6000)]
+    spec = Events(F.col("user"), F.col("t"), F.col("id"), F.col("kind"), F.col("amount"), types)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        got = {x.entity: x for x in partial_rows(spark.createDataFrame(data, FIELDS).repartition(3), spec).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for user in {d[0] for d in data}:
+        mine = [d for d in data if d[0] == user]
+        n = [sum(d[3] == k for d in mine) for k in types]
+        assert list(got[user].type_n) == n and got[user].k == len(mine)
+        assert list(got[user].type_sum) == [sum(d[4] for d in mine if d[3] == k) for k in types]
+        assert [x for x, c in zip(got[user].type_last, n, strict=True) if c] == [max(d[1] for d in mine if d[3] == k) for k, c in zip(types, n, strict=True) if c]
+
+
 def test_entity_features_empty(spark):
     assert feature_table(spark.createDataFrame([], FIELDS), events()).count() == 0
     assert partial_rows(spark.createDataFrame([("u", 1.0, "i", None, None, "", 0)], FIELDS), events()).count() == 1

@@ -1,16 +1,18 @@
 """One feature row per entity from an event table.
 
-Bucket and sort: events are hash-partitioned by entity and sorted by (entity, time, event) inside
-the partitions; a streaming pass over Arrow batches turns the runs into counters, totals and
-latest times and emits each entity's wide row as soon as its run ends. There is no other shuffle.
-Entities with an outsized share of all events (found by a counting pass; at most 1/share of them)
-take a second branch that buckets them by (entity, clock hour), so that no task holds one of them
-whole; their partial rows, one per entity and task, are merged by adding. Both branches run the
-same streaming pass.
+Bucket and sort: events are hash-partitioned by entity and sorted by (entity, type, time, event)
+inside the partitions; a streaming pass over Arrow batches turns the runs of a type into counters,
+totals and latest times and emits each entity's wide row as soon as its run ends. There is no other
+shuffle. Counters are sparse (one entry per type that occurs) until rows are emitted, in blocks of
+bounded size; the clock features come from counts per active hour of the open entity.
+Entities with at least ``hot_share`` of all events (found by a counting pass; at most 1 / hot_share of
+them, a broadcast table) take a second branch that buckets them by (entity, clock hour), so that no
+task holds one of them whole; their partial rows, one per entity and task, are merged by adding.
+Both branches run the same streaming pass.
 
 Defined cases: events without entity, time or event id are left out; an event id repeated for the
-same entity and time counts once; an event type outside ``types`` counts for the entity but for no
-type column; null amounts add nothing; an empty table gives no rows. A single event has interval
+same entity, type and time counts once; an event type outside ``types`` counts for the entity but for
+no type column; null amounts add nothing; an empty table gives no rows. A single event has interval
 0. Input columns other than those named are ignored, so extra columns can't clash.
 """
 
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.arrow import starts
-from weftline.plans.lineage import shuffle_partitions
+from weftline.plans.lineage import cut, shuffle_partitions
 
 PARTIAL = "entity string, k long, t0 double, t1 double, hours long, hour_max long, night long, weekend long, amount_n long, amount_sum double, amount_min double, amount_max double, type_n array<long>, type_sum array<double>, type_last array<double>"
 
@@ -41,145 +43,130 @@ class Events:
     night_hours: int = 6  # hours 0 to 5
 
 
-class _Runs:
-    """Counters of the open entity and of its open clock hour, across batches."""
-
-    def __init__(self, types: int, night: int) -> None:
-        self.types, self.night, self.last, self.open = types, night, None, None
-
-    def hours(self, b: pa.RecordBatch) -> dict[str, np.ndarray] | None:
-        """One row per run of (entity, clock hour), without repeated events."""
-        entity, event = b.column("entity"), b.column("event")
-        t = b.column("t").to_numpy(zero_copy_only=False)
-        last = self.last or (None, None, None)
-        new_e = starts(entity, last[0])
-        hour = np.floor(t / 3600).astype(np.int64)
-        same_t = np.concatenate([[last[1] is not None and t[0] == last[1]], t[1:] == t[:-1]])
-        keep = new_e | ~same_t | starts(event, last[2])
-        new_h = new_e | np.concatenate([[last[1] is None or hour[0] != int(last[1] // 3600)], hour[1:] != hour[:-1]])
-        self.last = (entity[len(t) - 1].as_py(), t[-1], event[len(t) - 1].as_py())
-        if not (new_e[0] or new_h[0]):
-            new_h[0] = True  # continues the open hour; merged by absorb()
-        at = np.flatnonzero(new_h)
-        run = np.cumsum(new_h) - 1
-        n, m = len(at), self.types
-        kind = b.column("kind").to_numpy(zero_copy_only=False).astype(np.int64)
-        amount = b.column("amount").to_numpy(zero_copy_only=False).astype(float)
-        there = keep & ~np.isnan(amount)
-        val = np.where(there, amount, 0.0)
-        typed = keep & (kind >= 0)
-        cell = run[typed] * m + kind[typed]
-        latest = np.full(n * m, -np.inf)
-        np.maximum.at(latest, cell, t[typed])
-        k = np.add.reduceat(keep.astype(np.int64), at)
-        days = hour[at] // 24
-        return {
-            "entity": np.array(entity.take(pa.array(at)).to_pylist(), object), "hour": hour[at], "k": k, "t0": t[at], "t1": np.maximum.reduceat(t, at),
-            "night": np.where(hour[at] % 24 < self.night, k, 0), "weekend": np.where((days + 3) % 7 >= 5, k, 0),
-            "amount_n": np.add.reduceat(there.astype(np.int64), at), "amount_sum": np.add.reduceat(val, at),
-            "amount_min": np.minimum.reduceat(np.where(there, amount, np.inf), at), "amount_max": np.maximum.reduceat(np.where(there, amount, -np.inf), at),
-            "type_n": np.bincount(cell, minlength=n * m).reshape(n, m), "type_sum": np.bincount(cell, weights=val[typed], minlength=n * m).reshape(n, m), "type_last": latest.reshape(n, m),
-        }
-
-
-_ADD = ("k", "night", "weekend", "amount_n", "amount_sum", "type_n", "type_sum")
-_LOW, _HIGH = ("t0", "amount_min"), ("t1", "amount_max", "type_last")
-
-
-def _merge(a: dict, b: dict) -> dict:
-    """Two rows (each an entry per column) of one entity or one hour."""
-    return {k: a[k] + b[k] if k in _ADD or k == "hours" else np.minimum(a[k], b[k]) if k in _LOW else np.maximum(a[k], b[k]) if k in (*_HIGH, "hour_max") else b[k] for k in b}
-
-
-def _entities(h: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Rows per run of one entity, from rows per clock hour."""
-    e = h["entity"]
-    at = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
-    out = {c: np.add.reduceat(h[c], at, axis=0) for c in _ADD}
-    out |= {c: np.minimum.reduceat(h[c], at, axis=0) for c in _LOW} | {c: np.maximum.reduceat(h[c], at, axis=0) for c in _HIGH}
-    return out | {"entity": e[at], "hours": np.diff([*at, len(e)]), "hour_max": np.maximum.reduceat(h["k"], at)}
-
-
-def _batch(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-    n, m = rows["type_n"].shape
-
-    def lists(x: np.ndarray, kind: pa.DataType) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * m), pa.array(x.reshape(-1), kind))
-
-    cols = [pa.array(rows["entity"], pa.string())]
-    for c in ("k", "t0", "t1", "hours", "hour_max", "night", "weekend", "amount_n", "amount_sum", "amount_min", "amount_max"):
-        cols.append(pa.array(rows[c], pa.float64() if c in ("t0", "t1", "amount_sum", "amount_min", "amount_max") else pa.int64()))
-    cols += [lists(rows["type_n"], pa.int64()), lists(rows["type_sum"], pa.float64()), lists(rows["type_last"], pa.float64())]
-    names = [x.split()[0] for x in PARTIAL.split(", ")]
-    return pa.RecordBatch.from_arrays(cols, names=names)
+_SUMS = ("k", "amount_n", "amount_sum")
+_CELLS = 1 << 18  # type counters of a block of emitted rows
+
+
+class _Rows:
+    """Counters of some entities: arrays with an entry per entity, per (entity, type) and per (entity,
+    clock hour); ``tr`` and ``hr`` are the entity's number."""
+
+    def __init__(self, entity: np.ndarray, sums: dict[str, np.ndarray], types: dict[str, np.ndarray], hours: dict[str, np.ndarray]) -> None:
+        self.entity, self.sums, self.types, self.hours = entity, sums, types, hours
+
+    def part(self, lo: int, hi: int) -> _Rows:
+        t, h = (self.types["tr"] >= lo) & (self.types["tr"] < hi), (self.hours["hr"] >= lo) & (self.hours["hr"] < hi)
+        types, hours = {c: v[t] for c, v in self.types.items()}, {c: v[h] for c, v in self.hours.items()}
+        return _Rows(self.entity[lo:hi], {c: v[lo:hi] for c, v in self.sums.items()}, types | {"tr": types["tr"] - lo}, hours | {"hr": hours["hr"] - lo})
+
+    def joined(self, o: _Rows) -> _Rows:
+        """One entity, whose counters come in two parts."""
+        a, b = self.sums, o.sums
+        sums = {c: a[c] + b[c] if c in _SUMS else np.minimum(a[c], b[c]) if c in ("t0", "amount_min") else np.maximum(a[c], b[c]) for c in a}
+        both = {c: np.concatenate([self.types[c], o.types[c]]) for c in self.types}
+        kinds, at = np.unique(both["kind"], return_inverse=True)
+        last = np.full(len(kinds), -np.inf)
+        np.maximum.at(last, at, both["last"])
+        types = {"tr": np.zeros(len(kinds), np.int64), "kind": kinds, "n": np.bincount(at, both["n"], len(kinds)).astype(np.int64), "sum": np.bincount(at, both["sum"], len(kinds)), "last": last}
+        hour, at = np.unique(np.concatenate([self.hours["hour"], o.hours["hour"]]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([self.hours["n"], o.hours["n"]]), len(hour)).astype(np.int64)
+        return _Rows(self.entity, sums, types, {"hr": np.zeros(len(hour), np.int64), "hour": hour, "n": n})
+
+    def batches(self, types: int, night: int) -> Iterator[pa.RecordBatch]:
+        step = max(1, _CELLS // max(1, types))
+        for lo in range(0, len(self.entity), step):
+            yield self.part(lo, lo + step)._batch(types, night)
+
+    def _batch(self, m: int, night: int) -> pa.RecordBatch:
+        n, s, t, h = len(self.entity), self.sums, self.types, self.hours
+        most = np.zeros(n, np.int64)
+        np.maximum.at(most, h["hr"], h["n"])
+        inside = lambda ok: np.bincount(h["hr"], np.where(ok, h["n"], 0), n).astype(np.int64)
+        cols = [pa.array(self.entity, pa.string()), s["k"], s["t0"], s["t1"], np.bincount(h["hr"], minlength=n), most, inside(h["hour"] % 24 < night), inside((h["hour"] // 24 + 3) % 7 >= 5), s["amount_n"], s["amount_sum"], s["amount_min"], s["amount_max"]]
+        cell, offsets = t["tr"] * m + t["kind"], pa.array(np.arange(n + 1, dtype=np.int32) * m)
+        for c, none in (("n", 0), ("sum", 0.0), ("last", -np.inf)):
+            wide = np.full(n * m, none)
+            wide[cell] = t[c]
+            cols.append(pa.ListArray.from_arrays(offsets, pa.array(wide)))
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=[x.split()[0] for x in PARTIAL.split(", ")])
+
+
+def _counted(b: pa.RecordBatch, last: tuple | None) -> tuple[_Rows, bool, tuple]:
+    """Counters of a batch sorted by (entity, type, time, event); whether its first entity is another
+    than that of the row before; its last row."""
+    entity, event = b.column("entity"), b.column("event")
+    t, kind = b.column("t").to_numpy(zero_copy_only=False), b.column("kind").to_numpy(zero_copy_only=False).astype(np.int64)
+    before = last or (None, -2, None, None)
+    changed = lambda x, v: np.concatenate([[x[0] != v], x[1:] != x[:-1]])
+    new_e = starts(entity, before[0])
+    new_k = new_e | changed(kind, before[1])
+    keep = new_k | changed(t, before[2]) | starts(event, before[3])
+    fresh = bool(new_e[0])
+    new_e[0] = new_k[0] = True
+    e_at, k_at = np.flatnonzero(new_e), np.flatnonzero(new_k)
+    e_run = np.cumsum(new_e) - 1
+    amount = b.column("amount").to_numpy(zero_copy_only=False).astype(float)
+    there = keep & ~np.isnan(amount)
+    value, one = np.where(there, amount, 0.0), keep.astype(np.int64)
+    sums = {
+        "k": np.add.reduceat(one, e_at), "t0": np.minimum.reduceat(t, e_at), "t1": np.maximum.reduceat(t, e_at), "amount_n": np.add.reduceat(there.astype(np.int64), e_at), "amount_sum": np.add.reduceat(value, e_at),
+        "amount_min": np.minimum.reduceat(np.where(there, amount, np.inf), e_at), "amount_max": np.maximum.reduceat(np.where(there, amount, -np.inf), e_at),
+    }
+    types = {"tr": e_run[k_at], "kind": kind[k_at], "n": np.add.reduceat(one, k_at), "sum": np.add.reduceat(value, k_at), "last": np.maximum.reduceat(t, k_at)}
+    known = types["kind"] >= 0
+    hour = np.floor(t / 3600).astype(np.int64)
+    low, span = hour.min(), hour.max() - hour.min() + 1
+    code, n = np.unique(e_run[keep] * span + hour[keep] - low, return_counts=True)
+    hours = {"hr": code // span, "hour": code % span + low, "n": n}
+    end = (entity[len(t) - 1].as_py(), int(kind[-1]), t[-1], event[len(t) - 1].as_py())
+    return _Rows(np.array(entity.take(pa.array(e_at)).to_pylist(), object), sums, {c: v[known] for c, v in types.items()}, hours), fresh, end
 
 
 def _stream(types: int, night: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, hour, entity = _Runs(types, night), None, None
+        held: _Rows | None = None
+        last = None
         for b in batches:
             if not b.num_rows:
                 continue
-            h = state.hours(b)
-            row = lambda i, h=h: {c: v[i] for c, v in h.items()}
-            first = 0
-            if hour is not None and hour["entity"] == h["entity"][0] and hour["hour"] == h["hour"][0]:
-                hour, first = _merge(hour, row(0)), 1
-            n = len(h["hour"])
-            if first == n:
-                continue  # the whole batch belongs to the open hour
-            closed = {c: np.concatenate([np.stack([hour[c]]) if c != "entity" else np.array([hour[c]], object), v[first : n - 1]]) if hour is not None else v[first : n - 1] for c, v in h.items()}
-            hour = row(n - 1)
-            if not len(closed["hour"]):
-                continue
-            e = _entities(closed)
-            one = lambda i, e=e: {c: v[i] for c, v in e.items()}
-            if entity is not None and entity["entity"] == e["entity"][0]:
-                merged = _merge(entity, one(0))
-                for c, v in e.items():
-                    v[0] = merged[c]
-                entity = None
-            if entity is not None:
-                yield _batch({c: np.array([v], object) if c == "entity" else np.stack([v]) for c, v in entity.items()})
-            m = len(e["hours"])
-            if m > 1:
-                yield _batch({c: v[: m - 1] for c, v in e.items()})
-            entity = one(m - 1)
-        if hour is not None:
-            e = _entities({c: np.array([v], object) if c == "entity" else np.stack([v]) for c, v in hour.items()})
-            tail = {c: v[0] for c, v in e.items()}
-            if entity is not None and entity["entity"] == tail["entity"]:
-                tail = _merge(entity, tail)
-            elif entity is not None:
-                yield _batch({c: np.array([v], object) if c == "entity" else np.stack([v]) for c, v in entity.items()})
-            yield _batch({c: np.array([v], object) if c == "entity" else np.stack([v]) for c, v in tail.items()})
+            rows, fresh, last = _counted(b, last)
+            n, lo = len(rows.entity), 0
+            if held is not None and not fresh:
+                held, lo = held.joined(rows.part(0, 1)), 1
+                if n == 1:
+                    continue
+            if held is not None:
+                yield from held.batches(types, night)
+            if n - 1 > lo:
+                yield from rows.part(lo, n - 1).batches(types, night)
+            held = rows.part(n - 1, n)
+        if held is not None:
+            yield from held.batches(types, night)
 
     return run
 
 
-def _hot(events: DataFrame, share: float) -> list[str]:
-    """Entities with at least this share of the rows: at most 1/share names."""
+def _hot(events: DataFrame, share: float) -> DataFrame:
+    """Entities with at least this share of the rows: at most 1 / share of them."""
     counts = events.groupBy("entity").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("all"))
     # total is one row
-    return [r[0] for r in counts.join(F.broadcast(total), F.col("n") >= F.lit(share) * F.col("all")).select("entity").collect()]
+    return cut(counts.join(F.broadcast(total), F.col("n") >= F.lit(share) * F.col("all")).select("entity"))
 
 
-def partial_rows(df: DataFrame, spec: Events, hot_share: float | None = None) -> DataFrame:
+def partial_rows(df: DataFrame, spec: Events, hot_share: float = 0.002) -> DataFrame:
     """Complete counters per entity (see PARTIAL)."""
     kind = F.coalesce(*[F.when(spec.kind == F.lit(t), F.lit(i)) for i, t in enumerate(spec.types)], F.lit(-1))
     events = df.select(
         spec.entity.alias("entity"), spec.time.cast("double").alias("t"), spec.event.cast("string").alias("event"), kind.cast("int").alias("kind"), spec.amount.cast("double").alias("amount")
     ).where(F.col("entity").isNotNull() & F.col("t").isNotNull() & ~F.isnan("t") & F.col("event").isNotNull())
     n = shuffle_partitions(df.sparkSession)
-    hot = _hot(events.select("entity"), hot_share or 1 / (4 * n))
-    step = _stream(len(spec.types), spec.night_hours)
-    cold = (events.where(~F.col("entity").isin(hot)) if hot else events).repartition(n, "entity")
-    out = cold.sortWithinPartitions("entity", "t", "event").mapInArrow(step, PARTIAL)
-    if not hot:
-        return out
-    split = events.where(F.col("entity").isin(hot)).repartition(n, F.col("entity"), F.floor(F.col("t") / 3600))
-    parts = split.sortWithinPartitions("entity", "t", "event").mapInArrow(step, PARTIAL)
+    hot = F.broadcast(_hot(events.select("entity"), hot_share))  # at most 1 / hot_share rows
+    order, step = ["entity", "kind", "t", "event"], _stream(len(spec.types), spec.night_hours)
+    cold = events.join(hot, "entity", "left_anti").repartition(n, "entity")
+    out = cold.sortWithinPartitions(*order).mapInArrow(step, PARTIAL)
+    split = events.join(hot, "entity", "left_semi").repartition(n, F.col("entity"), F.floor(F.col("t") / 3600))
+    parts = split.sortWithinPartitions(*order).mapInArrow(step, PARTIAL)
     m = len(spec.types)
     merged = parts.groupBy("entity").agg(
         *[F.sum(c).alias(c) for c in ("k",)], F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.sum("hours").alias("hours"), F.max("hour_max").alias("hour_max"),
@@ -189,7 +176,7 @@ def partial_rows(df: DataFrame, spec: Events, hot_share: float | None = None) ->
     return out.unionByName(merged)
 
 
-def feature_table(df: DataFrame, spec: Events, hot_share: float | None = None) -> DataFrame:
+def feature_table(df: DataFrame, spec: Events, hot_share: float = 0.002) -> DataFrame:
     """The wide table: volume, span, rate, interval, burst, night and weekend features, totals of
     the amount, and for every event type its count, total and latest time."""
     p = partial_rows(df, spec, hot_share)
