@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from weftline.llm.classes import member_pairs
 from weftline.llm.clusters import Density, all_alike, density_clusters
-from weftline.llm.content import ContentModel, content_scores
+from weftline.llm.content import ContentModel, content_scores, offending_sentences
 from weftline.llm.groups import connected_groups, peeled_groups
 from weftline.llm.mixing import mix_copies, shares
 from weftline.llm.near_duplicates import NearDuplicates, _block_pairs, near_duplicate_groups, near_duplicate_pairs
 from weftline.llm.sentences import sentences
 from weftline.llm.set_pairs import SetJoin, merge_skip, set_pairs
-from weftline.llm.tokens import Tokenizer, _encoder, corpus_ids, cuts, join, split
+from weftline.llm.tokens import Tokenizer, _encoder, corpus_ids, corpus_sizes, cuts, join, split
 from weftline.llm.top_items import top_items
 
 
@@ -263,6 +263,19 @@ def test_corpus_ids(spark):
     assert corpus_ids(spark.createDataFrame([], "doc_id long, text string"), F.col("doc_id"), F.col("text")).count() == 0
 
 
+def test_shared_chunks_are_reused(spark):
+    """Texts with passages that come again take the way of shared chunks, the others are encoded in place; sizes agree."""
+    encode = _encoder("/opt/tokenizers/byte_bpe_50k.tiktoken")
+    r = random.Random(12)
+    say = lambda n: " ".join(r.choice(["chart", "moon,", "fees.", "日本語。", "él", "x1"]) + str(r.randint(0, 999)) for _ in range(n))
+    passages = [say(300) for _ in range(3)]
+    texts = [say(r.randint(0, 80)) + " " + r.choice(passages) + "\n" + say(r.randint(0, 80)) if i % 2 else say(60) for i in range(80)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(900, None, 1), (901, "", 1)], "doc_id long, text string, size int").repartition(4)
+    got = {x.doc_id: list(x.ids) for x in corpus_ids(df, F.col("doc_id"), F.col("text"), Tokenizer(chunk=64)).collect()}
+    assert got == {i: encode(t).tolist() for i, t in enumerate(texts)} | {900: [], 901: []}
+    assert {x.doc_id: x.size for x in corpus_sizes(df.drop("size"), "text").collect()} == {i: len(x) for i, x in got.items()}
+
+
 # p9
 
 
@@ -307,5 +320,12 @@ def test_content_model_held_out(spark):
     assert sum(a == b for a, b in hit) / len(hit) > 0.97
     assert got[9001].score == got[9002].score == got[9003].score == 0 and got[9004].score >= 0.5
     assert got[600].worst_score == max(got[600].worst_score, 0.3)
+    places = {}
+    for x in offending_sentences(d, l, ContentModel(min_steps=300)).collect():
+        places.setdefault(x.doc_id, []).append((x.place, x.sentence, x.score))
+    assert places.keys() == {i for i, x in got.items() if x.score >= 0.5}
+    for i, found in places.items():
+        assert all(sentences(next(t for k, t, _ in docs if k == i))[p] == s for p, s, _ in found) and max(q for *_, q in found) == pytest.approx(got[i].worst_score)
+        assert len(found) == max(1, got[i].offending) or got[i].offending == 0
     none = content_scores(d, l.where("false"), ContentModel())
     assert none.count() == len(docs) and none.where("score > 0.01").count() == 0

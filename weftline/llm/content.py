@@ -6,8 +6,10 @@ function of its hashed n-grams; a document's score is the noisy-or of its senten
 fit decides which sentences are to blame; the same scores then locate them.
 
 Fitting happens on the driver on at most ``max_labels`` labelled documents (those with the lowest
-hash of their id; all of them if fewer). The weights, 2^bits floats whatever the data, go to the
-executors, which score every document whole.
+hash of their id; all of them if fewer). Weights are kept by the hash of what they were fitted on,
+so queries over the same labels fit once. The weights, 2^bits floats whatever the data, go to the
+executors, which score every document whole; a sentence that comes again among the documents of a
+slice is scored once.
 
 Defined cases: a null, empty or blank text has score 0; labels of unknown documents and null
 labels are ignored; contradicting labels of a document all take part; without any labels, or with
@@ -16,6 +18,7 @@ labels of one kind only, all scores are 0. Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,8 +50,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def sentence_scores(weights: np.ndarray, sents: list[str], bits: int) -> np.ndarray:
-    off, idx = features(sents, bits)
-    return _sigmoid(_logits(weights, off, idx))
+    number = {s: i for i, s in enumerate(dict.fromkeys(sents))}
+    off, idx = features(list(number), bits)
+    return _sigmoid(_logits(weights, off, idx))[[number[s] for s in sents]]
 
 
 def _logits(weights: np.ndarray, off: np.ndarray, idx: np.ndarray) -> np.ndarray:
@@ -118,6 +122,49 @@ def labelled(docs: DataFrame, labels: DataFrame, cfg: ContentModel) -> tuple[lis
     return [r[1] for r in rows], [r[2] for r in rows]
 
 
+_FITTED: dict[bytes, np.ndarray] = {}
+
+
+def fitted(texts: list[str], labels: list[bool], cfg: ContentModel) -> np.ndarray:
+    """``fit``, or what it gave for the same texts, labels and parameters (the last few are kept)."""
+    h = hashlib.sha256(repr(cfg).encode())
+    for t, bad in zip(texts, labels, strict=True):
+        raw = t.encode("utf-8", "surrogatepass")
+        h.update(len(raw).to_bytes(8, "little") + raw + bytes([bad]))
+    key = h.digest()
+    if key not in _FITTED:
+        while len(_FITTED) >= 4:
+            _FITTED.pop(next(iter(_FITTED)))
+        _FITTED[key] = fit(texts, labels, cfg)
+    return _FITTED[key]
+
+
+def _scored(docs: list[list[str]], w: np.ndarray, bits: int) -> Iterator[tuple[list[str], np.ndarray]]:
+    """The sentences of each document with their scores."""
+    flat = [s for d in docs for s in d]
+    p = sentence_scores(w, flat, bits) if flat else np.zeros(0)
+    at = 0
+    for d in docs:
+        yield d, p[at : at + len(d)]
+        at += len(d)
+
+
+def _locate(cfg: ContentModel, weights):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+            out = []
+            for lo in range(0, len(texts), 512):
+                for doc, (d, q) in zip(ids[lo : lo + 512], _scored([sentences(t) for t in texts[lo : lo + 512]], weights.value, cfg.bits), strict=True):
+                    if len(q) and 1 - np.prod(1 - q) >= cfg.flag:
+                        out += [(doc, int(k), d[k], float(q[k])) for k in np.flatnonzero((q >= cfg.flag) | (q == q.max()))]
+            if out:
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.float64()), strict=True)], names=["doc_id", "place", "sentence", "score"])
+
+    return run
+
+
 def _score(cfg: ContentModel, weights):
     schema = ["doc_id", "score", "sentences", "offending", "worst", "worst_score"]
 
@@ -127,12 +174,8 @@ def _score(cfg: ContentModel, weights):
             texts = b.column("text").to_pylist()
             for lo in range(0, len(texts), 512):
                 docs = [sentences(t) for t in texts[lo : lo + 512]]
-                flat = [s for d in docs for s in d]
-                p = sentence_scores(w, flat, cfg.bits) if flat else np.zeros(0)
-                at, out = 0, []
-                for d in docs:
-                    q = p[at : at + len(d)]
-                    at += len(d)
+                out = []
+                for d, q in _scored(docs, w, cfg.bits):
                     k = int(q.argmax()) if len(q) else -1
                     out.append((float(1 - np.prod(1 - q)), len(d), int((q >= cfg.flag).sum()), d[k] if k >= 0 else None, float(q[k]) if k >= 0 else 0.0))
                 cols = list(zip(*out, strict=True))
@@ -145,6 +188,14 @@ def _score(cfg: ContentModel, weights):
 def content_scores(docs: DataFrame, labels: DataFrame, cfg: ContentModel = ContentModel()) -> DataFrame:
     """(doc_id, score, sentences, offending, worst, worst_score): the score of each document, its
     number of sentences and of those at or above ``flag``, and its worst sentence in normal form."""
-    spark = docs.sparkSession
-    weights = spark.sparkContext.broadcast(fit(*labelled(docs, labels, cfg), cfg))
-    return docs.select("doc_id", "text").mapInArrow(_score(cfg, weights), "doc_id long, score double, sentences int, offending int, worst string, worst_score double")
+    return docs.select("doc_id", "text").mapInArrow(_score(cfg, _weights(docs, labels, cfg)), "doc_id long, score double, sentences int, offending int, worst string, worst_score double")
+
+
+def _weights(docs: DataFrame, labels: DataFrame, cfg: ContentModel):
+    return docs.sparkSession.sparkContext.broadcast(fitted(*labelled(docs, labels, cfg), cfg))
+
+
+def offending_sentences(docs: DataFrame, labels: DataFrame, cfg: ContentModel = ContentModel()) -> DataFrame:
+    """(doc_id, place, sentence, score): of each document at or above ``flag`` all sentences that are
+    so themselves, or else its worst, with their places among its sentences (from 0)."""
+    return docs.select("doc_id", "text").where(F.length("text") > 0).mapInArrow(_locate(cfg, _weights(docs, labels, cfg)), "doc_id long, place int, sentence string, score double")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.content import ContentModel, content_scores
+from weftline.llm.content import ContentModel, content_scores, offending_sentences
 from weftline.llm.mixing import mix_copies, shares
-from weftline.llm.tokens import Tokenizer, corpus_ids
+from weftline.llm.tokens import Tokenizer, corpus_ids, corpus_sizes
 from weftline.plans.lineage import cut
 from weftline.sources.tables import table
 
@@ -17,10 +17,8 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
-    key = F.struct("doc_id", "source")
-    ids = corpus_ids(docs.where(F.col("source").isNotNull()), key, F.col("text"), Tokenizer())
-    return cut(ids.select("doc_id.doc_id", "doc_id.source", F.size("ids").alias("size")))
+    docs = table(spark, folder, "documents").where(F.col("source").isNotNull()).select("doc_id", "source", "text")
+    return cut(corpus_sizes(docs, "text"))
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,6 +46,11 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return p10_scores(spark, folder).where(F.col("score") >= MODEL.flag).select("doc_id")
 
 
+def p10_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the flagged documents offend: their offending sentences with place and score."""
+    return offending_sentences(table(spark, folder, "documents"), table(spark, folder, "content_labels"), MODEL)
+
+
 def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     """Share of flagged documents by source."""
     docs = table(spark, folder, "documents").select("doc_id", F.coalesce("source", F.lit("(none)")).alias("source"))
@@ -56,7 +59,7 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return docs.join(s, "doc_id").groupBy("source").agg(F.count("*").alias("docs"), F.sum(hit).alias("flagged"), F.avg(hit).alias("rate"), F.avg("score").alias("mean_score"))
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+QUERIES = {"p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_sentences": p10_sentences, "p10_rates": p10_rates}
 
 
 def oracle_sql() -> dict[str, str]:

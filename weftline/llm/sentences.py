@@ -22,6 +22,7 @@ LOOK_ALIKE = str.maketrans({
 })
 SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"})
 
+_LOOK = re.compile("[" + "".join(map(chr, LOOK_ALIKE)) + "]")
 _INVISIBLE = re.compile("[­​-‏⁠﻿‪-‮]")
 _APART = re.compile(r"(?<![a-z0-9])(?:[a-z@$!0-9*][ .\-_]){2,}[a-z@$!0-9*](?![a-z0-9])")
 _MARKED = re.compile(r"(?<![a-z0-9@$!|*.,])(?=[a-z0-9@$!|]*[a-z])(?=[a-z]*[0-9@$!|])[a-z0-9@$!|]+(?=[^a-z0-9@$|]|$)")
@@ -31,6 +32,10 @@ _MENTION = re.compile(r"(?<![a-z0-9])@(?=[a-z0-9_\-]*[0-9_\-])[a-z0-9_\-]+")
 _END = re.compile("[.?!。！？…;；,，、\\n\\r\\u2028\\u2029\\u0085]+|[\U0001f000-\U0001faff☀-➿]+|(?<= )[:;]-?[()dp](?= |$)|[-=_~*|#]{3,}")
 
 
+def _latin(m: re.Match) -> str:
+    return LOOK_ALIKE[ord(m.group())]
+
+
 def _letters(m: re.Match) -> str:
     return re.sub(r"[ .\-_]", "", m.group())
 
@@ -48,7 +53,8 @@ def sentences(text: str | None) -> list[str]:
     """Normal forms of the sentences of the whole text (none for a null or blank text)."""
     if not text:
         return []
-    x = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text).casefold()).translate(LOOK_ALIKE)
+    x = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text).casefold())
+    x = _LOOK.sub(_latin, x)
     x = _APART.sub(_letters, _MENTION.sub("@", x))
     x = _MARKED.sub(_signs, x)
     x = _LONG.sub(r"\1", x)
