@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.llm.classes import member_pairs
-from weftline.llm.clusters import Density, all_alike, density_clusters
+from weftline.llm.clusters import Density, all_alike, boruvka, density_clusters
 from weftline.llm.content import ContentModel, content_scores, offending_sentences
 from weftline.llm.groups import connected_groups, peeled_groups
 from weftline.llm.mixing import mix_copies, shares
@@ -119,23 +119,138 @@ def test_density_clusters(spark):
                 want[f"k{c}-{i:03}"] = f"k{c}-000"
     data += [("far", 50.0, 50.0, 50.0, 1), ("null", None, 0.0, 0.0, 1), ("nan", float("nan"), 0.0, 0.0, 1), (None, 0.0, 0.0, 0.0, 1), data[0], data[5]]
     df = spark.createDataFrame(data, "id string, x double, y double, z double, cluster int")
-    found = all_alike(density_clusters(df, F.col("id"), [F.col(c) for c in "xyz"], Density(1.0)), 3, 1.0, 5)
+    got, tree = density_clusters(df, F.col("id"), [F.col(c) for c in "xyz"], Density(1.0))
+    found = all_alike(got, tree, 3, 1.0, 5)
     least = {}
     for i, c in rows(found.select("id", "cluster")):
         least.setdefault(c, i)
     assert {i: least[c] for i, c in rows(found.select("id", "cluster"))} == want
 
 
+def by_hand(x, eps, m):
+    """Clusters from all pairs, top down: the heaviest edges of the single-linkage tree are taken away one
+    by one; stabilities, selection and the distance bound by their definitions."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    core = np.sort(d, 1)[:, m - 1]
+    w = np.maximum(d, np.maximum(core[:, None], core[None]))
+    n = len(x)
+    inside, tree, best = {0}, [], {i: (w[0, i], 0) for i in range(1, n)}
+    while best:
+        v = min(best, key=best.get)
+        d0, u = best.pop(v)
+        tree.append((d0, u, v))
+        inside.add(v)
+        for o in best:
+            best[o] = min(best[o], (w[v, o], v))
+    tree.sort()
+
+    def parts(points, edges):
+        label = {p: p for p in points}
+
+        def find(p):
+            while label[p] != p:
+                p = label[p]
+            return p
+
+        for _, u, v in edges:
+            label[find(u)] = find(v)
+        out = {}
+        for p in points:
+            out.setdefault(find(p), []).append(p)
+        return list(out.values())
+
+    def has_bound(points, edges):  # a cluster: it holds a component of m points at eps
+        return any(len(p) >= m for p in parts(points, [e for e in edges if e[0] <= eps]))
+
+    def node(points, edges):
+        """(sum of the lambdas at which points leave, points left, clusters it splits into) of a cluster."""
+        leave = 0.0
+        while True:
+            if not edges or edges[-1][0] <= eps:
+                # no splits from here: a point leaves where its component is left with fewer than m points
+                for p in points:
+                    at = next((e[0] for i, e in enumerate(edges) if len(next(q for q in parts(points, edges[: i + 1]) if p in q)) >= m), None)
+                    leave += 1 / at if at else 0.0
+                return leave, points, []
+            top = edges[-1][0]
+            two = parts(points, edges[:-1])
+            big = [p for p in two if has_bound(p, [e for e in edges[:-1] if e[1] in p])]
+            if len(big) == 2:
+                kids = []
+                for p in big:
+                    sub = [e for e in edges[:-1] if e[1] in p]
+                    kids.append((p, node(p, sub)))
+                return leave + len(points) / top, points, [(p, k, 1 / top) for p, k in kids]
+            small = [p for p in two if p is not (big[0] if big else None)]
+            leave += sum(len(p) for p in small) / top
+            if not big:
+                return leave, [], []
+            points, edges = big[0], [e for e in edges[:-1] if e[1] in big[0]]
+
+    all_points = list(range(n))
+
+    def solve(all_in, result, birth):
+        leave, points, kids = result
+        own = leave - all_in * birth
+        if not kids:
+            leaves = [p for p in parts(points, [e for e in tree if e[0] <= eps and e[1] in points]) if len(p) >= m]
+            return own, [frozenset(p) for p in leaves], True
+        below, got = 0.0, []
+        for p, r, b in kids:
+            s, c, _ = solve(len(p), r, b)
+            below += s
+            got.append(c)
+        flat = [c for g in got for c in g]
+        return (own, [frozenset().union(*flat)], True) if own >= below else (below, flat, False)
+
+    if not has_bound(all_points, tree):
+        return set()
+    return set(solve(n, node(all_points, tree), 0.0)[1])
+
+
+@pytest.mark.parametrize("cap", [500_000, 9])
+def test_condensed_hierarchy_against_the_definition(spark, cap):
+    several = 0
+    for seed in (1, 3):
+        r = np.random.default_rng(seed)
+        x = np.concatenate([r.normal(c, s, (n, 2)) for c, s, n in (((0, 0), 0.3, 14), ((3, 0), 0.3, 12), ((1.6, 2.5), 0.8, 14), ((9, 9), 0.2, 8), ((9, 10.5), 0.5, 9), ((20, 0), 0.1, 4))])
+        df = spark.createDataFrame([(f"p{i:03}", float(a), float(b)) for i, (a, b) in enumerate(x)], "id string, x double, y double")
+        got, _ = density_clusters(df, F.col("id"), [F.col("x"), F.col("y")], Density(0.45, 4, k=80, cap=cap))
+        found = {}
+        for i, c in rows(got.select("id", "cluster")):
+            found.setdefault(c, set()).add(int(i[1:]))
+        want = by_hand(x, 0.45, 4)
+        assert {frozenset(v) for v in found.values()} == want
+        several += len(want) > 2
+    assert several
+
+
+def points_of(spark, x):
+    pts = spark.createDataFrame([(f"p{i:02}", i, [float(v) for v in p], 1) for i, p in enumerate(x)], "id string, pid long, x array<double>, cluster long")
+    edges = pts.toDF("ia", "a", "xa", "ca").join(pts.toDF("ib", "b", "xb", "cb"), F.col("a") < F.col("b")).select("a", "b", F.sqrt(F.pow(F.col("xa")[0] - F.col("xb")[0], 2) + F.pow(F.col("xa")[1] - F.col("xb")[1], 2)).alias("w"))
+    return pts, boruvka(edges, pts.select("pid"), [float("inf")])[0]
+
+
 def test_all_alike_drops_what_breaks_a_cluster(spark):
-    pts = [(f"p{i}", [0.1 * i, 0.0], 1) for i in range(6)] + [("q", [1.05, 0.0], 1)]
-    m = spark.createDataFrame(pts, "id string, x array<double>, cluster long")
-    assert [r.id for r in all_alike(m, 2, 1.0, 5).orderBy("id").collect()] == [f"p{i}" for i in range(6)]
-    assert all_alike(m.where("id < 'p3'"), 2, 1.0, 5).count() == 0
+    pts, tree = points_of(spark, [(0.1 * i, 0) for i in range(6)] + [(1.05, 0)])
+    assert [r.id for r in all_alike(pts, tree, 2, 1.0, 5).orderBy("id").collect()] == [f"p{i:02}" for i in range(6)]
+    assert all_alike(pts.where("id < 'p03'"), tree, 2, 1.0, 5).count() == 0
+
+
+def test_all_alike_splits_bridged_clusters(spark):
+    """Two equal clusters with a bridge between them come apart; an outer point is not lost."""
+    one = [(0.1 * i, 0.1 * (i % 2)) for i in range(6)]
+    x = [*one, *[(a + 2.2, b) for a, b in one], (1.3, 0.0), (-0.4, 0.0)]
+    pts, tree = points_of(spark, x)
+    got = {}
+    for i, c in rows(all_alike(pts, tree, 2, 1.0, 5).select("id", "cluster")):
+        got.setdefault(c, set()).add(int(i[1:]))
+    assert sorted(map(sorted, got.values())) == [[*range(6), 13], [*range(6, 12)]]
 
 
 def test_density_empty(spark):
     df = spark.createDataFrame([], "id string, x double")
-    assert density_clusters(df, F.col("id"), [F.col("x")], Density(1.0)).count() == 0
+    assert density_clusters(df, F.col("id"), [F.col("x")], Density(1.0))[0].count() == 0
 
 
 # p4

@@ -22,10 +22,10 @@ def coordinates() -> list[Column]:
 
 
 def _members(spark: SparkSession, folder: str) -> DataFrame:
-    """(id, x, cluster, persistence, cluster_id)"""
+    """(id, pid, x, cluster, persistence)"""
     f = table(spark, folder, "account_features")
-    got = density_clusters(f, F.when(F.length(name("user_id")) > 0, name("user_id")), coordinates(), ALIKE)
-    return cut(all_alike(got, 7, ALIKE.epsilon, ALIKE.min_size))
+    got, tree = density_clusters(f, F.when(F.length(name("user_id")) > 0, name("user_id")), coordinates(), ALIKE)
+    return cut(all_alike(got, tree, 7, ALIKE.epsilon, ALIKE.min_size))
 
 
 def _named(m: DataFrame) -> DataFrame:
