@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import accounts, text
-from weftline.operators import cleaning, components, evaluation, expansion, graph, heavy_keys, ranking, temporal
+from weftline.operators import cleaning, components, discovery, evaluation, expansion, graph, heavy_keys, ranking, temporal
 from weftline.operators.entity_features import Events, feature_table, partial_rows
 
 
@@ -192,8 +192,45 @@ def test_spearman_and_overlap(spark):
 
 def test_random_pairs_repeat(spark):
     a = spark.createDataFrame([(f"u{i}",) for i in range(40)], "u string")
-    one, two = rows(evaluation.random_pairs(a, "u", 2, 7)), rows(evaluation.random_pairs(a, "u", 2, 7))
-    assert one == two and len(one) > 60 and all(x < y for x, y in one)
+    one, two = rows(discovery.random_pairs(a, "u", 300)), rows(discovery.random_pairs(a.repartition(3), "u", 300))
+    assert one == two and len(one) == len(set(one)) > 200 and all(x < y for x, y in one)
+    assert len(rows(discovery.random_pairs(a, "u", 20))) == 20 and discovery.random_pairs(a.limit(1), "u", 5).count() == 0
+
+
+def test_matched_pairs_keep_the_bins(spark):
+    n = spark.createDataFrame([(f"u{i:02}", 2 if i < 10 else 7 if i < 20 else 200) for i in range(30)], "account string, n long")
+    pool = n.where("account like '%5' or account like '%6' or account like '%7'").where("account < 'u20'")
+    got = rows(discovery.matched_pairs(spark.createDataFrame([("u01", "u11"), ("u02", "u12"), ("u03", "u29"), ("u04", "nobody")], "a string, b string"), n, pool))
+    names = {r.account for r in pool.collect()}
+    assert 2 <= len(got) <= 4 and all(a in names and b in names and a != b for a, b in got)
+    assert discovery.matched_pairs(spark.createDataFrame([], "a string, b string"), n, pool).count() == 0
+
+
+def test_groups_are_ranked_by_all_keys(spark):
+    g = spark.createDataFrame([("s1", 1, None), ("s2", 2, 0), ("s3", 1, 5), ("s4", 1, 5)], "seed string, x int, y int")
+    assert [r.seed for r in discovery.ranked_groups(g, ["x", "y"], "seed").orderBy("group_rank").collect()] == ["s2", "s3", "s4", "s1"]
+    r = ranking.descending_rank(spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", 3.0), ("d", None), ("e", float("nan")), ("f", 0.0)], "k string, v double"), "v", "r")
+    assert {x.k: x.r for x in r.collect()} == {"b": 1, "c": 1, "a": 3, "f": 4, "d": None, "e": None}
+
+
+def test_tier_ablation(spark):
+    m = spark.createDataFrame([("s", "a", 1), ("s", "b", 4), ("s", "c", 2), ("t", "a", 4)], "seed string, candidate string, tier int")
+    p = spark.createDataFrame([("s", "a", "b", "strong_temporal_sync", "robust"), ("s", "a", "c", "moderate_temporal_sync", "none"), ("s", "a", "x", "none", "none")], "seed string, a string, b string, label string, confidence string")
+    got = {r.setting: tuple(r)[1:] for r in discovery.tier_ablation(discovery.with_tiers(p, m), m).collect()}
+    assert got == {"with_tier4": (4, 3, 3, 1, 1, 1), "without_tier4": (2, 2, 2, 0, 1, 0), "tier4_only": (2, 2, 1, 1, 0, 1)}
+
+
+def test_exact_quantiles(spark):
+    r = random.Random(7)
+    data = [(r.choice("ab"), r.choice([None, *map(float, range(40))])) for _ in range(400)]
+    df = spark.createDataFrame(data, "k string, v double")
+    import numpy as np
+
+    got = {x.k: (x.q1, x.q9) for x in ranking.quantiles(df, ["k"], "v", {"q1": 0.1, "q9": 0.93}).collect()}
+    for k in "ab":
+        assert got[k] == pytest.approx(tuple(np.quantile([v for a, v in data if a == k and v is not None], [0.1, 0.93])))
+    assert ranking.quantiles(df, [], "v", {"q": 0.5}).first().q == pytest.approx(np.median([v for _, v in data if v is not None]))
+    assert ranking.quantiles(df.where("false"), [], "v", {"q": 0.5}).count() == 0
 
 
 def test_functional_bots(spark):

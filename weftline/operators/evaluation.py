@@ -51,16 +51,3 @@ def activity_bin(col: str, edges: tuple[int, ...] = (0, 1, 3, 5, 10, 20, 50, 100
     for i in range(len(edges) - 1, -1, -1):
         x = F.when(F.col(col) <= edges[i], i).otherwise(x)
     return F.when(F.col(col).isNotNull(), x)
-
-
-def random_pairs(accounts: DataFrame, key: str, per_account: int, seed: int) -> DataFrame:
-    """(a, b): a null baseline of distinct pairs. Each account meets the next ones in ``per_account``
-    hash orders of all accounts, so no pair list is ever formed and reruns agree."""
-    from weftline.operators.ranking import global_index
-
-    out = None
-    for i in range(per_account):
-        d = global_index(accounts.select(F.col(key).alias("x")).distinct().withColumn("h", F.xxhash64("x", F.lit(seed + i))), ["h", "x"], "at")
-        p = d.join(d.select(F.col("x").alias("y"), (F.col("at") - 1).alias("at")), "at").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        out = p if out is None else out.unionByName(p)
-    return out.distinct()

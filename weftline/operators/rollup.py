@@ -41,7 +41,7 @@ def matched(candidates: DataFrame, pool: DataFrame, key: str, bin_: str, seed: i
     from pyspark.sql import Window
 
     spare = pool.join(candidates.select(key), key, "left_anti")
-    place = lambda d: d.withColumn("_p", F.row_number().over(Window.partitionBy(bin_).orderBy(F.xxhash64(key, F.lit(seed)), key)))
+    place = lambda d: d.withColumn("_p", F.row_number().over(Window.partitionBy(bin_).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)).cast("binary")), key)))
     most = candidates.groupBy(bin_).agg(F.count("*").alias("_most"))
     few = place(spare).join(most, bin_).where(F.col("_p") <= F.col("_most"))
     return place(candidates).select(key, bin_, "_p").join(few.select(F.col(key).alias("match"), bin_, "_p"), [bin_, "_p"], "left").select(key, "match", bin_)

@@ -44,6 +44,12 @@ def weighted(df: DataFrame, weights: tuple[float, ...], out: str, columns: tuple
     return df.withColumn(out, sum((F.lit(w / total) * F.col(c) for w, c in zip(weights, columns, strict=True)), F.lit(0.0)))
 
 
+def weight_audit(spark) -> DataFrame:
+    """(profile, score_column, a weight per signal): the normalised weights that scores were made with."""
+    rows = [(p, f"score_{p}", *[w / sum(ws) for w in ws]) for p, ws in PROFILES.items()]
+    return spark.createDataFrame(rows, "profile string, score_column string, " + ", ".join(f"{s} double" for s in SIGNALS))
+
+
 def views(df: DataFrame, columns: tuple[str, ...] = SIGNALS) -> DataFrame:
     """One score column per profile."""
     return reduce(lambda d, p: weighted(d, p[1], f"score_{p[0]}", columns), PROFILES.items(), df)

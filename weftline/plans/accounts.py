@@ -135,15 +135,6 @@ def activity_bins(spark: SparkSession, d: str) -> DataFrame:
     return f.where(F.col("bin").isNotNull()).groupBy("bin").agg(F.count("*").alias("accounts"), F.avg("burst_ratio").alias("mean_burst"))
 
 
-def random_baseline(spark: SparkSession, d: str) -> DataFrame:
-    """Timing of random pairs of accounts with at least 5 comments."""
-    c = cut(interactions(spark, d))
-    busy = c.groupBy("source").agg(F.count("*").alias("n")).where(F.col("n") >= 5)
-    pairs = cut(evaluation.random_pairs(busy, "source", 2, 42))
-    t = temporal.labelled(temporal.pair_timing(pairs, c, temporal.Windows()))
-    return t.groupBy("label").agg(F.count("*").alias("pairs"))
-
-
 QUERIES = {
     "stance_features": lambda s, d: rounded(behaviour.stance_features(interactions(s, d))),
     "comment_activity": lambda s, d: rounded(comment_activity(s, d), 4),
@@ -171,7 +162,6 @@ QUERIES = {
     "signal_sparsity": lambda s, d: rounded(evaluation.sparsity(scores(s, d), list(SIGNALS))),
     "threshold_sweep": lambda s, d: rounded(evaluation.sweep(evidence(s, d), "w", THRESHOLDS)),
     "activity_bins": lambda s, d: rounded(activity_bins(s, d)),
-    "random_baseline": random_baseline,
     "text_ratios": lambda s, d: rounded(text_features.text_ratios(posts(s, d), "analysis_text")),
     "post_features": lambda s, d: rounded(text_features.post_features(posts(s, d), interactions(s, d))),
     "hashed_terms": lambda s, d: rounded(text_features.hashed_terms(posts(s, d), "post_id", "analysis_text")),
@@ -226,17 +216,21 @@ def _weights(out: str, src: str) -> str:
     return f"{out} as (select x.*, coalesce(n.w, 0) as co_negative, coalesce(q.w, 0) as tag, coalesce(g.w, 0) as trigger, coalesce(t.w, 0) as co_target from {src} x left join wn n on n.me = seed and n.other = candidate left join wq q on q.me = seed and q.other = candidate left join wg g on g.me = seed and g.other = candidate left join wt t on t.me = seed and t.other = candidate)"
 
 
-_STRUCTURE = f"(co_negative > 0 or co_target >= {TIERS.co_target} or trigger >= {TIERS.trigger})"
-_EXPAND = f"""{_SEEDS}, {_R}, {TAG}, {_ways("wq", "tg", "similarity")}, {_ways("wn", "con", "similarity")}, {_ways("wt", "cot", "similarity")}, {_ways("wg", "(select a, b, round(w_trigger, 9) as w from tr)", "w")},
+def sql_expand(cfg: Tiers) -> str:
+    structure = f"(co_negative > 0 or co_target >= {cfg.co_target} or trigger >= {cfg.trigger})"
+    return f"""{_SEEDS}, {_R}, {TAG}, {_ways("wq", "tg", "similarity")}, {_ways("wn", "con", "similarity")}, {_ways("wt", "cot", "similarity")}, {_ways("wg", "(select a, b, round(w_trigger, 9) as w from tr)", "w")},
 near as (select seed, other as candidate from sd join wn on me = seed union select seed, other from sd join wt on me = seed union select seed, other from sd join wg on me = seed union select seed, other from sd join wq on me = seed),
 {_weights("dw", "near")},
-di as (select *, case when co_negative >= {TIERS.co_negative} then 1 when tag >= {TIERS.tag} and {_STRUCTURE} then 2 when trigger >= {TIERS.trigger} and (co_negative > 0 or tag >= {TIERS.tag}) then 3 else 99 end as tier, case when co_negative >= {TIERS.co_negative} then 'co_negative' when tag >= {TIERS.tag} and {_STRUCTURE} then 'tag_with_structure' else 'trigger_with_co_negative_or_tag' end as reason, 0 as links from dw),
+di as (select *, case when co_negative >= {cfg.co_negative} then 1 when tag >= {cfg.tag} and {structure} then 2 when trigger >= {cfg.trigger} and (co_negative > 0 or tag >= {cfg.tag}) then 3 else 99 end as tier, case when co_negative >= {cfg.co_negative} then 'co_negative' when tag >= {cfg.tag} and {structure} then 'tag_with_structure' else 'trigger_with_co_negative_or_tag' end as reason, 0 as links from dw),
 ac as (select * from di where tier < 99 union all select seed, seed, 0, 0, 0, 0, 0, 'seed', 0 from sd),
-hp as (select ac.seed, wn.other as candidate, count(*) as links from ac join wn on wn.me = ac.candidate where wn.w >= {TIERS.co_negative} group by 1, 2 having count(*) >= {TIERS.min_links}),
+hp as (select ac.seed, wn.other as candidate, count(*) as links from ac join wn on wn.me = ac.candidate where wn.w >= {cfg.co_negative} group by 1, 2 having count(*) >= {cfg.min_links}),
 h2 as (select * from hp where (seed, candidate) not in (select (seed, candidate) from ac)),
 {_weights("hw", "h2")},
 al as (select seed, candidate, tier, reason, co_negative, tag, trigger, co_target, links from ac union all select seed, candidate, 4, 'two_hop', co_negative, tag, trigger, co_target, links from hw),
-ex as (select * from al qualify row_number() over (partition by seed order by tier, co_negative desc, tag desc, trigger desc, co_target desc, candidate) <= {TIERS.max_members})"""
+ex as (select * from al qualify row_number() over (partition by seed order by tier, co_negative desc, tag desc, trigger desc, co_target desc, candidate) <= {cfg.max_members})"""
+
+
+_EXPAND = sql_expand(TIERS)
 _GRAPH = f"{E}, {P}, {CO_T}, {CO_N}, {TR}"
 _EV = f"""ev as (select least(a, b) as a, greatest(a, b) as b, max(w) as w, max(verification_label) as label, max(strong) as strong, min(delay) as delay from (select {sql_name("account_a")} as a, {sql_name("account_b")} as b, {sql_finite("co_negative_weight")} as w, verification_label, within_5min_count as strong,
     {sql_finite("median_delay_minutes")} as delay from pair_evidence where {sql_valid("account_a")} and {sql_valid("account_b")}) where a <> b group by 1, 2)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("activity", "interactions", "accounts", "extras", "summaries")
+MODULES = ("activity", "interactions", "accounts", "extras", "summaries", "discovery")
 
 
 def queries() -> dict:

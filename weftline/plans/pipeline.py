@@ -13,6 +13,8 @@ from weftline.plans import accounts, interactions
 FRONT = {"posts": interactions.posts, "comments": interactions.interactions, "edges": interactions.edges, "trigger_response": interactions.trigger, "co_target": interactions.co_target, "co_negative": interactions.co_negative}
 BACK = {"signals": accounts.account_signals, "seeds": accounts.seeds, "expansion": accounts.tiered_expansion, "pair_timing": accounts.expansion_timing}
 
+SWEEP = (0.1, 0.2, 0.3)
+
 
 def row_ranges(start: int, end: int, workers: int) -> list[tuple[int, int]]:
     """Balanced half-open ranges; the remainder goes to the first ones, empty ranges are left out."""
@@ -37,7 +39,7 @@ def run(spark: SparkSession, folder: str, out: str, stages: dict | None = None)
     return counts
 
 
-def threshold_sweep(spark: SparkSession, folder: str, thresholds: tuple[float, ...] = (0.1, 0.2, 0.3)):
+def threshold_sweep(spark: SparkSession, folder: str, thresholds: tuple[float, ...] = SWEEP):
     """Expansion at several layer thresholds, as one table."""
     from dataclasses import replace
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.accounts import sql_name, sql_valid, valid_name
 from weftline.operators import evaluation, rollup, text_features
 from weftline.plans import accounts, pipeline
-from weftline.plans.accounts import _EV, _S, _TIMING, SIGNALS
-from weftline.plans.interactions import C, P, comments, interactions, posts
+from weftline.plans.accounts import _EV, _S, _TIMING, SIGNALS, TIERS, sql_expand
+from weftline.plans.interactions import C0, CO_NEGATIVE, CO_T, TR, C, E, P, comments, interactions, posts, sql_projection
 from weftline.plans.lineage import cut
 from weftline.plans.rounding import rounded, sql_rounded
 from weftline.sources.tables import table
@@ -69,6 +71,11 @@ _LABEL = "case when within_strong > 0 then 'strong_temporal_sync' when within_mo
 def oracle_sql() -> dict[str, str]:
     from weftline.operators.cleaning import LABELS
 
+    sweep = " union all ".join(
+        f"select * from (with {E}, {P}, {CO_T}, {sql_projection('con', 'w_opposed', replace(CO_NEGATIVE, threshold=t))}, {TR}, {sql_expand(replace(TIERS, co_negative=t))} select tier, count(*) as members, count(distinct candidate) as accounts, {t}::double as threshold from ex group by 1)"
+        for t in pipeline.SWEEP
+    )
+    bins = "case when n <= 0 then 0 when n <= 1 then 1 when n <= 3 then 2 when n <= 5 then 3 when n <= 10 then 4 when n <= 20 then 5 when n <= 50 then 6 when n <= 100 then 7 else 8 end"
     labels = ", ".join(f"count(*) filter (label = '{x}') as n_{x}, count(*) filter (label = '{x}') / count(*) as ratio_{x}" for x in LABELS)
     return {
         "pair_summary": sql_rounded(
@@ -85,5 +92,10 @@ def oracle_sql() -> dict[str, str]:
             f"with {_S}, {_M}, c as (select user_id, 'all' as cohort from s union all select distinct seed, 'seeds' from m union all select distinct candidate, 'members' from m where include)\nSELECT cohort, count(*) as accounts, " + ", ".join(f"avg((coalesce({x}, 0) > 0)::int) as {x}_share, avg(coalesce({x}, 0)) as {x}_mean" for x in SIGNALS) + " from c left join s using (user_id) group by 1",
             " ".join(f"{x}_share {x}_mean" for x in SIGNALS),
         ),
+        "expansion_sweep": sweep,
+        "matched_accounts": f"""with {C0}, {_M}, n as (select account, {bins} as bin from (select source as account, count(*) as n from c0 where source is not null group by 1)), cm as (select distinct candidate from m where include),
+            x as (select account, bin, row_number() over (partition by bin order by md5('42:' || account), account) as p from n where account in (select candidate from cm)),
+            y as (select account as match, bin, row_number() over (partition by bin order by md5('42:' || account), account) as p from n where account not in (select candidate from cm))
+            select account, match, bin::int as bin from x left join y using (bin, p)""",
         "post_feedback": sql_rounded(f"with {C}, {P}\nSELECT post_id, count(*) as comments, avg(score) as mean_score, min(score) as min_score, max(score) as max_score, {labels}, any_value(p.author) as author, any_value(p.num_comments) as num_comments from c join p using (post_id) group by 1", "mean_score min_score max_score " + " ".join(f"ratio_{x}" for x in LABELS)),
     }
