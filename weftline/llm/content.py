@@ -8,8 +8,8 @@ fit decides which sentences are to blame; the same scores then locate them.
 Fitting happens on the driver on at most ``max_labels`` labelled documents (those with the lowest
 hash of their id; all of them if fewer). Weights are kept by the hash of what they were fitted on,
 so queries over the same labels fit once. The weights, 2^bits floats whatever the data, go to the
-executors, which score every document whole; a sentence that comes again among the documents of a
-slice is scored once.
+executors, which score every document whole; a task remembers the scores of the sentences it met, so
+one that comes again is mostly scored once.
 
 Defined cases: a null, empty or blank text has score 0; labels of unknown documents and null
 labels are ignored; contradicting labels of a document all take part; without any labels, or with
@@ -30,6 +30,9 @@ from pyspark.sql import functions as F
 from weftline.llm.sentences import features, sentences
 
 
+KEPT = 1 << 18  # sentences whose scores a task remembers
+
+
 @dataclass(frozen=True)
 class ContentModel:
     bits: int = 18
@@ -49,10 +52,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def sentence_scores(weights: np.ndarray, sents: list[str], bits: int) -> np.ndarray:
-    number = {s: i for i, s in enumerate(dict.fromkeys(sents))}
-    off, idx = features(list(number), bits)
-    return _sigmoid(_logits(weights, off, idx))[[number[s] for s in sents]]
+def sentence_scores(weights: np.ndarray, sents: list[str], bits: int, known: dict[str, float]) -> np.ndarray:
+    """A score for each sentence. ``known`` keeps those of a bounded number of sentences."""
+    new = [s for s in dict.fromkeys(sents) if s not in known]
+    if len(known) + len(new) > KEPT:
+        known.clear()
+        new = list(dict.fromkeys(sents))
+    if new:
+        off, idx = features(new, bits)
+        known.update(zip(new, _sigmoid(_logits(weights, off, idx)).tolist(), strict=True))
+    return np.array([known[s] for s in sents])
 
 
 def _logits(weights: np.ndarray, off: np.ndarray, idx: np.ndarray) -> np.ndarray:
@@ -139,10 +148,10 @@ def fitted(texts: list[str], labels: list[bool], cfg: ContentModel) -> np.ndarra
     return _FITTED[key]
 
 
-def _scored(docs: list[list[str]], w: np.ndarray, bits: int) -> Iterator[tuple[list[str], np.ndarray]]:
+def _scored(docs: list[list[str]], w: np.ndarray, bits: int, known: dict[str, float]) -> Iterator[tuple[list[str], np.ndarray]]:
     """The sentences of each document with their scores."""
     flat = [s for d in docs for s in d]
-    p = sentence_scores(w, flat, bits) if flat else np.zeros(0)
+    p = sentence_scores(w, flat, bits, known) if flat else np.zeros(0)
     at = 0
     for d in docs:
         yield d, p[at : at + len(d)]
@@ -151,11 +160,12 @@ def _scored(docs: list[list[str]], w: np.ndarray, bits: int) -> Iterator[tuple[l
 
 def _locate(cfg: ContentModel, weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, float] = {}
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
             out = []
             for lo in range(0, len(texts), 512):
-                for doc, (d, q) in zip(ids[lo : lo + 512], _scored([sentences(t) for t in texts[lo : lo + 512]], weights.value, cfg.bits), strict=True):
+                for doc, (d, q) in zip(ids[lo : lo + 512], _scored([sentences(t) for t in texts[lo : lo + 512]], weights.value, cfg.bits, known), strict=True):
                     if len(q) and 1 - np.prod(1 - q) >= cfg.flag:
                         out += [(doc, int(k), d[k], float(q[k])) for k in np.flatnonzero((q >= cfg.flag) | (q == q.max()))]
             if out:
@@ -169,13 +179,13 @@ def _score(cfg: ContentModel, weights):
     schema = ["doc_id", "score", "sentences", "offending", "worst", "worst_score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights.value
+        w, known = weights.value, {}
         for b in batches:
             texts = b.column("text").to_pylist()
             for lo in range(0, len(texts), 512):
                 docs = [sentences(t) for t in texts[lo : lo + 512]]
                 out = []
-                for d, q in _scored(docs, w, cfg.bits):
+                for d, q in _scored(docs, w, cfg.bits, known):
                     k = int(q.argmax()) if len(q) else -1
                     out.append((float(1 - np.prod(1 - q)), len(d), int((q >= cfg.flag).sum()), d[k] if k >= 0 else None, float(q[k]) if k >= 0 else 0.0))
                 cols = list(zip(*out, strict=True))
