@@ -43,3 +43,16 @@ def test_pair_summary_and_names(spark):
     assert rollup.pair_summary(p.where("false"), []).first().pairs == 0
     m = spark.createDataFrame([("g", f"m{i:02}", float(i)) for i in range(15)], "g string, m string, s double")
     assert rollup.first_names(m, "g", "m", [F.desc("s")]).first().names == ", ".join(f"m{i:02}" for i in range(14, 2, -1))
+
+
+def test_parallel_steps_collect_failures(spark, tmp_path):
+    assert pipeline.run_parallel({"a": lambda: 1, "b": lambda: 2}) == {"a": 1, "b": 2}
+    done = []
+    with pytest.raises(RuntimeError, match="bad .ZeroDivisionError"):
+        pipeline.run_parallel({"bad": lambda: 1 / 0, "good": lambda: done.append(1)}, 1)
+    assert done == [1]
+    df = spark.createDataFrame([(i,) for i in range(11)], "id int")
+    steps = pipeline.scoring_steps(df, ["id"], lambda d: d.withColumn("score", F.col("id") + 1), str(tmp_path / "s"), 2, 9, 3)
+    assert list(steps) == ["[2, 5)", "[5, 7)", "[7, 9)"]
+    pipeline.run_parallel(steps)
+    assert sorted((r.id, r.score) for r in spark.read.parquet(str(tmp_path / "s")).collect()) == [(i, i + 1) for i in range(2, 9)]

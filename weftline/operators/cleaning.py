@@ -37,12 +37,22 @@ def usable_time(t: Column) -> Column:
 
 
 def distinct_comments(comments: DataFrame) -> DataFrame:
-    """One row per comment_id with the fields the pipeline uses; rows of an id agree up to padding."""
-    return comments.where(F.col("comment_id").isNotNull()).groupBy("comment_id").agg(
-        F.max(valid_name("source_author")).alias("source"), F.max(valid_name("target_author")).alias("target"), F.min("post_id").alias("post_id"),
-        F.min(usable_time(F.col("created_utc"))).alias("ts"), F.min(stance(F.col("feedback_label"))).alias("label"), F.min("feedback_score").cast("double").alias("score"),
-        F.min(finite("edge_weight")).alias("weight"), F.max("analysis_char_len").alias("chars"),
+    """One row per comment_id with the fields the pipeline uses. Of rows that differ one whole row stays:
+    the first by completeness (source, target, time), then time and the other fields."""
+    c = comments.where(F.col("comment_id").isNotNull()).select(
+        "comment_id", valid_name("source_author").alias("source"), valid_name("target_author").alias("target"), "post_id", usable_time(F.col("created_utc")).alias("ts"), stance(F.col("feedback_label")).alias("label"),
+        F.col("feedback_score").cast("double").alias("score"), finite("edge_weight").alias("weight"), F.col("analysis_char_len").alias("chars"),
     )
+    fields = ["ts", "label", "score", "weight", "source", "target", "post_id", "chars"]
+    return whole_row(c, "comment_id", [F.col(x).isNull() for x in ("source", "target", "ts")], fields).select("comment_id", "source", "target", "post_id", "ts", "label", "score", "weight", "chars")
+
+
+def whole_row(df: DataFrame, key: str, first: list[Column], fields: list[str]) -> DataFrame:
+    """One whole row per key: the smallest by ``first``, then by ``fields`` (nulls first). One
+    aggregation with map-side combining, no sort of a key's rows."""
+    order = [c.alias(f"o{i}") for i, c in enumerate(first)]
+    g = df.groupBy(key).agg(F.min(F.struct(*order, *fields)).alias("r"))
+    return g.select(key, *[F.col(f"r.{c}").alias(c) for c in fields])
 
 
 def back_fill(comments: DataFrame) -> DataFrame:
@@ -70,11 +80,12 @@ def cleaning_counts(comments: DataFrame) -> DataFrame:
 
 
 def clean_posts(posts: DataFrame) -> DataFrame:
-    """One row per post_id of a valid author with a usable time."""
-    p = posts.where(F.col("post_id").isNotNull()).groupBy("post_id").agg(
-        F.max(valid_name("author")).alias("author"), F.min(usable_time(F.col("created_utc"))).alias("ts"), F.max("num_comments").alias("num_comments"), F.min("title").alias("title"), F.min("selftext").alias("selftext"), F.min("analysis_text").alias("analysis_text")
-    )
-    return p.where(F.col("author").isNotNull() & F.col("ts").isNotNull())
+    """One row per post_id of a valid author with a usable time. Of several such rows one whole row stays:
+    the earliest, then that with the most comments, then by the other fields."""
+    p = posts.where(F.col("post_id").isNotNull()).select("post_id", valid_name("author").alias("author"), usable_time(F.col("created_utc")).alias("ts"), "num_comments", "title", "selftext", "analysis_text")
+    p = p.where(F.col("author").isNotNull() & F.col("ts").isNotNull())
+    first = [F.col("ts"), F.col("num_comments").isNull(), -F.col("num_comments")]
+    return whole_row(p, "post_id", first, ["title", "selftext", "analysis_text", "author", "ts", "num_comments"]).select("post_id", "author", "ts", "num_comments", "title", "selftext", "analysis_text")
 
 
 def analysis_texts(posts: DataFrame, min_chars: int = 20) -> DataFrame:

@@ -58,7 +58,7 @@ def tier(cfg: Tiers) -> tuple[Column, Column]:
 
 
 def expand(seeds: DataFrame, layers: dict[str, DataFrame], cfg: Tiers) -> DataFrame:
-    """(seed, candidate, tier, reason, the four weights, links): direct candidates of tiers 1 to 3,
+    """(seed, candidate, tier, reason, the four weights, links, their first 12 names): direct candidates of tiers 1 to 3,
     two-hop candidates of tier 4 with enough links to accepted accounts, and the seed itself.
 
     ``layers`` maps co_negative, co_target, tag and trigger to (me, other, w) frames of both_ways.
@@ -78,16 +78,18 @@ def expand(seeds: DataFrame, layers: dict[str, DataFrame], cfg: Tiers) -> DataFr
         d = layers[n].join(s, F.col("me") == F.col("seed")).select("seed", F.col("other").alias("candidate"))
         near = d if near is None else near.unionByName(d)
     number, reason = tier(cfg)
-    direct = weights(near.distinct()).withColumns({"tier": number, "reason": reason, "links": F.lit(0).cast("long")})
-    own = s.select("seed", F.col("seed").alias("candidate"), *[F.lit(0.0).alias(n) for n in names], F.lit(0).alias("tier"), F.lit("seed").alias("reason"), F.lit(0).cast("long").alias("links"))
+    direct = weights(near.distinct()).withColumns({"tier": number, "reason": reason, "links": F.lit(0).cast("long"), "connectors": F.lit("")})
+    own = s.select("seed", F.col("seed").alias("candidate"), *[F.lit(0.0).alias(n) for n in names], F.lit(0).alias("tier"), F.lit("seed").alias("reason"), F.lit(0).cast("long").alias("links"), F.lit("").alias("connectors"))
     accepted = direct.where(F.col("tier") < 99).unionByName(own)
     hop = accepted.select("seed", F.col("candidate").alias("me")).join(layers["co_negative"].where(F.col("w") >= cfg.co_negative), "me")
-    hop = hop.groupBy("seed", F.col("other").alias("candidate")).agg(F.count("*").alias("links")).where(F.col("links") >= cfg.min_links)
+    hop = hop.where(F.col("other") != F.col("me")).select("seed", F.col("other").alias("candidate"), "me").distinct()
+    named = top_per_group(hop, ["seed", "candidate"], [F.asc("me")], 12).groupBy("seed", "candidate").agg(F.array_join(F.array_sort(F.collect_list("me")), ", ").alias("connectors"))
+    hop = hop.groupBy("seed", "candidate").agg(F.count("*").alias("links")).where(F.col("links") >= cfg.min_links).join(named, ["seed", "candidate"])
     hop = hop.join(accepted.select("seed", "candidate"), ["seed", "candidate"], "left_anti")
     second = weights(hop).withColumns({"tier": F.lit(4), "reason": F.lit("two_hop")})
     rows = accepted.unionByName(second)
     order = [F.asc("tier"), *[F.desc(n) for n in names], F.asc("candidate")]
-    return top_per_group(rows, ["seed"], order, cfg.max_members).select("seed", "candidate", "tier", "reason", *names, "links")
+    return top_per_group(rows, ["seed"], order, cfg.max_members).select("seed", "candidate", "tier", "reason", *names, "links", "connectors")
 
 
 def induced(pairs: DataFrame, members: DataFrame, weight: str) -> DataFrame:

@@ -110,6 +110,19 @@ def layers(edges: DataFrame) -> DataFrame:
     return edges.select("source", "target", F.inline(each)).where(F.round("weight", 9) != 0).select("layer", "source", "target", "weight")
 
 
+def all_layers(edges: DataFrame, trigger: DataFrame, co_target: DataFrame, co_negative: DataFrame) -> DataFrame:
+    """The nine layers of the graph in long form (layer, source, target, weight), without zeros:
+    count, single_signed, signed, positive, negative, degree_adjusted, trigger_response, co_target,
+    co_negative_target."""
+    single = {"count": "w_count", "single_signed": "w_signed", "signed": "w_signed", "positive": "w_positive", "negative": "w_negative"}
+    each = F.array(*[F.struct(F.lit(k).alias("layer"), F.col(v).alias("weight")) for k, v in single.items()])
+    out = edges.select("source", "target", F.inline(each))
+    more = {"degree_adjusted": (degree_adjusted(edges), "source", "target", "w_adjusted"), "trigger_response": (trigger, "a", "b", "w_trigger"), "co_target": (co_target, "a", "b", "similarity"), "co_negative_target": (co_negative, "a", "b", "similarity")}
+    for layer, (d, a, b, w) in more.items():
+        out = out.unionByName(d.select(F.col(a).alias("source"), F.col(b).alias("target"), F.lit(layer).alias("layer"), F.col(w).alias("weight")))
+    return out.where(F.round("weight", 9) != 0).select("layer", "source", "target", "weight")
+
+
 def strength(pairs: DataFrame, weight: str, a: str = "a", b: str = "b") -> DataFrame:
     """(account, strength): sum over both ends of undirected pairs."""
     both = pairs.select(F.col(a).alias("account"), F.col(weight).alias("w")).unionByName(pairs.select(F.col(b).alias("account"), F.col(weight).alias("w")))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import ratio_or_zero
+from weftline.operators.providers import tone
 from weftline.operators.ranking import global_index, top_per_group
 from weftline.plans.lineage import cut
 
@@ -49,13 +50,17 @@ def parsed_tags(raw: Column) -> Column:
 
 def scored(posts: DataFrame, text: str, provider: Provider = lexicon) -> DataFrame:
     tags, score = provider(F.col(text))
-    return posts.withColumns({"tags": tags, "rhetoric_score": score})
+    return posts.withColumns({"tags": tags, "rhetoric_score": score, "sentiment": tone(F.col(text)), "chars": F.length(F.coalesce(F.col(text), F.lit("")))})
 
 
 def rhetoric_features(posts: DataFrame) -> DataFrame:
-    """Per author of scored posts: posts, mean score, count of each tag and its share of all tags."""
+    """Per author of scored posts: posts, statistics of rhetoric score, sentiment, text length and (where
+    there) comment numbers, count of each tag and its share of all tags. Deviations are of the population."""
+    number = "num_comments" if "num_comments" in posts.columns else None
+    more = [F.avg(F.coalesce(F.col(number), F.lit(0))).alias("mean_num_comments"), F.max(F.coalesce(F.col(number), F.lit(0))).alias("max_num_comments")] if number else []
+    stats = [F.stddev_pop("rhetoric_score").alias("std_rhetoric"), F.max("rhetoric_score").alias("max_rhetoric"), F.avg("sentiment").alias("mean_sentiment"), F.stddev_pop("sentiment").alias("std_sentiment"), F.max("sentiment").alias("max_sentiment"), F.min("sentiment").alias("min_sentiment"), F.avg("chars").alias("mean_chars"), F.stddev_pop("chars").alias("std_chars"), *more]
     n = [F.count_if(F.array_contains("tags", t)).alias(f"n_{t}") for t in TAGS]
-    f = posts.groupBy(F.col("author").alias("user_id")).agg(F.count("*").alias("posts"), F.avg("rhetoric_score").alias("mean_rhetoric"), *n)
+    f = posts.groupBy(F.col("author").alias("user_id")).agg(F.count("*").alias("posts"), F.avg("rhetoric_score").alias("mean_rhetoric"), *stats, *n)
     total = sum((F.col(f"n_{t}") for t in TAGS), F.lit(0))
     loaded = sum((F.col(f"n_{t}") for t in LOADED), F.lit(0))
     return f.withColumns({f"ratio_{t}": ratio_or_zero(F.col(f"n_{t}"), total) for t in TAGS}).withColumns({"loaded_tags": loaded, "loaded_per_post": F.least(F.lit(1.0), loaded / F.col("posts"))})

@@ -41,7 +41,9 @@ def comment_activity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def post_activity(spark: SparkSession, d: str) -> DataFrame:
-    return behaviour.activity(posts(spark, d), "author", "ts")
+    p = posts(spark, d)
+    replies = p.groupBy(F.col("author").alias("user_id")).agg(F.avg("num_comments").alias("mean_num_comments"))
+    return behaviour.activity(p, "author", "ts").join(replies, "user_id")
 
 
 def account_signals(spark: SparkSession, d: str) -> DataFrame:
@@ -221,12 +223,12 @@ def sql_expand(cfg: Tiers) -> str:
     return f"""{_SEEDS}, {_R}, {TAG}, {_ways("wq", "tg", "similarity")}, {_ways("wn", "con", "similarity")}, {_ways("wt", "cot", "similarity")}, {_ways("wg", "(select a, b, round(w_trigger, 9) as w from tr)", "w")},
 near as (select seed, other as candidate from sd join wn on me = seed union select seed, other from sd join wt on me = seed union select seed, other from sd join wg on me = seed union select seed, other from sd join wq on me = seed),
 {_weights("dw", "near")},
-di as (select *, case when co_negative >= {cfg.co_negative} then 1 when tag >= {cfg.tag} and {structure} then 2 when trigger >= {cfg.trigger} and (co_negative > 0 or tag >= {cfg.tag}) then 3 else 99 end as tier, case when co_negative >= {cfg.co_negative} then 'co_negative' when tag >= {cfg.tag} and {structure} then 'tag_with_structure' else 'trigger_with_co_negative_or_tag' end as reason, 0 as links from dw),
-ac as (select * from di where tier < 99 union all select seed, seed, 0, 0, 0, 0, 0, 'seed', 0 from sd),
-hp as (select ac.seed, wn.other as candidate, count(*) as links from ac join wn on wn.me = ac.candidate where wn.w >= {cfg.co_negative} group by 1, 2 having count(*) >= {cfg.min_links}),
+di as (select *, case when co_negative >= {cfg.co_negative} then 1 when tag >= {cfg.tag} and {structure} then 2 when trigger >= {cfg.trigger} and (co_negative > 0 or tag >= {cfg.tag}) then 3 else 99 end as tier, case when co_negative >= {cfg.co_negative} then 'co_negative' when tag >= {cfg.tag} and {structure} then 'tag_with_structure' else 'trigger_with_co_negative_or_tag' end as reason, 0 as links, '' as connectors from dw),
+ac as (select * from di where tier < 99 union all select seed, seed, 0, 0, 0, 0, 0, 'seed', 0, '' from sd),
+hp as (select ac.seed, wn.other as candidate, count(*) as links, array_to_string(list_slice(list_sort(list(ac.candidate)), 1, 12), ', ') as connectors from ac join wn on wn.me = ac.candidate where wn.w >= {cfg.co_negative} group by 1, 2 having count(*) >= {cfg.min_links}),
 h2 as (select * from hp where (seed, candidate) not in (select (seed, candidate) from ac)),
 {_weights("hw", "h2")},
-al as (select seed, candidate, tier, reason, co_negative, tag, trigger, co_target, links from ac union all select seed, candidate, 4, 'two_hop', co_negative, tag, trigger, co_target, links from hw),
+al as (select seed, candidate, tier, reason, co_negative, tag, trigger, co_target, links, connectors from ac union all select seed, candidate, 4, 'two_hop', co_negative, tag, trigger, co_target, links, connectors from hw),
 ex as (select * from al qualify row_number() over (partition by seed order by tier, co_negative desc, tag desc, trigger desc, co_target desc, candidate) <= {cfg.max_members})"""
 
 
@@ -260,7 +262,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "stance_features": sql_rounded(f"with {C}\nSELECT source as user_id, count(*) as comments, {sql_mean('score', 6)} as mean_score, stddev_pop(score) as std_score, max(score) as max_score, min(score) as min_score, {sql_mean('weight', 9)} as mean_weight, avg(chars) as mean_chars, count(distinct target) as targets, count(distinct post_id) as posts, {ratios} from c group by 1", "mean_score std_score max_score min_score mean_weight mean_chars " + r_lab.replace(",", "")),
         "comment_activity": sql_rounded(f"with {C}, {_CA}\nSELECT * from ca", _ACT, 4),
-        "post_activity": sql_rounded(f"with {P}, {_PA}\nSELECT * from pa", _ACT, 4),
+        "post_activity": sql_rounded(f"with {P}, {_PA}\nSELECT pa.*, mean_num_comments from pa join (select author as user_id, avg(num_comments) as mean_num_comments from p group by 1) using (user_id)", _ACT + " mean_num_comments", 4),
         "merged_activity": sql_rounded(
             f"""with {C}, {P}, {_CA}, {_PA}, j as (select coalesce(ca.user_id, pa.user_id) as user_id, coalesce(ca.events, 0) as comment_count, coalesce(ca.active_days, 0) as comment_days, coalesce(ca.per_day, 0) as comments_per_day, coalesce(ca.burst_ratio, 0) as burst_ratio, coalesce(ca.night_ratio, 0) as night_ratio,
             coalesce(pa.events, 0) as post_count, coalesce(pa.active_days, 0) as post_days, coalesce(pa.per_day, 0) as posts_per_day from ca full join pa on ca.user_id = pa.user_id)

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions.text import clamp_int
 from weftline.functions.accounts import finite, name, sql_finite, sql_name, sql_valid, valid_name
 from weftline.operators import behaviour, discovery, expansion, graph, rhetoric, rollup, scoring, temporal
 from weftline.operators.ranking import descending_rank
-from weftline.plans import accounts
+from weftline.plans import accounts, pipeline
 from weftline.plans.accounts import _EV, _S, SYNC_LABELS
 from weftline.plans.extras import _R, rhetoric_posts
-from weftline.plans.interactions import C, CO_N, E, GROUP_THRESHOLD, GROUPS, P, _groups, co_negative, edges, interactions
+from weftline.plans.interactions import C, CO_N, CO_T, E, GROUP_THRESHOLD, GROUPS, NODES, P, TR, _groups, co_negative, edges, interactions
 from weftline.plans.lineage import cut
 from weftline.plans.rounding import rounded, sql_rounded
 from weftline.plans.summaries import _LABEL, _M, members
-from weftline.sources.tables import table
+from weftline.sources.tables import one_layout, resume, row_range, table
 
 KEYS = ("robust_pairs", "moderate_review_pairs", "n_strong_temporal_sync", "n_moderate_temporal_sync", "extreme_outliers", "high_scores", "inner_edges")
 # The signals of a pair and whether its check uses them.
@@ -106,7 +107,31 @@ def weight_audit(spark: SparkSession, d: str) -> DataFrame:
     return scoring.weight_audit(spark)
 
 
+def layer_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    e = cut(edges(spark, d))
+    from weftline.plans.interactions import CO_NEGATIVE, CO_TARGET, trigger
+
+    return graph.all_layers(e, trigger(spark, d), graph.co_targets(e, "w_log", CO_TARGET), graph.co_targets(e, "w_opposed", CO_NEGATIVE))
+
+
+def split_comments(spark: SparkSession, d: str) -> DataFrame:
+    """(part, comment_id, parent): direct comments with their post, replies with the comment they answer."""
+    from weftline.operators.cleaning import parent_fields
+
+    c = parent_fields(table(spark, d, "analyzed_comments").where(F.col("comment_id").isNotNull()))
+    direct = c.where(F.col("parent_kind") == "post").select(F.lit("direct").alias("part"), "comment_id", F.col("parent_post").alias("parent"))
+    return direct.unionByName(c.where(F.col("parent_kind") == "comment").select(F.lit("reply").alias("part"), "comment_id", F.col("parent_comment").alias("parent"))).distinct()
+
+
 QUERIES = {
+    "layer_artifacts": lambda s, d: rounded(layer_artifacts(s, d)),
+    "coo_co_target": lambda s, d: rounded(graph.coo(accounts.co_target(s, d), graph.node_index(edges(s, d)), "similarity", "a", "b", mirror=True)),
+    "split_comments": split_comments,
+    "one_layout": lambda s, d: one_layout(table(s, d, "analyzed_comments").select("comment_id", F.concat(F.lit("t3_"), "post_id").alias("link_id"), "author", "created_utc")),
+    "row_window": lambda s, d: row_range(table(s, d, "documents").select("doc_id", "n_chars"), ["doc_id"], 100, 250),
+    "work_left": lambda s, d: resume(table(s, d, "documents").select("doc_id", "source"), table(s, d, "content_labels").where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("category").alias("category")), "doc_id").select("doc_id", "category"),
+    "work_sizes": lambda s, d: pipeline.work_sizes(s, d),
+    "clamped_counts": lambda s, d: table(s, d, "posts").select("post_id", clamp_int((F.col("num_comments") / 4).cast("string"), 0, 100, -1).alias("quarter")).distinct(),
     "group_discovery": lambda s, d: rounded(group_discovery(s, d)),
     "group_sync": group_sync,
     "final_groups": lambda s, d: rounded(final_groups(s, d)),
@@ -173,7 +198,23 @@ def oracle_sql() -> dict[str, str]:
         mq as (select distinct least(p, q) as i, greatest(p, q) as j from oa where p <> q),
         mp as (select least(x.account, y.account) as a, greatest(x.account, y.account) as b from mq join px x on x.pos = mq.i join px y on y.pos = mq.j),
         ev3 as (select a, b, 'groups' as kind from own union all select a, b, 'random' from rp union all select a, b, 'matched' from mp)"""
+    prefixed = "case when starts_with(parent_id, 't3_') then 'direct' when starts_with(parent_id, 't1_') then 'reply' end"
+    layers = {"count": "w_count", "single_signed": "w_signed", "signed": "w_signed", "positive": "w_positive", "negative": "w_negative"}
     return {
+        "layer_artifacts": sql_rounded(
+            f"""with {E}, {P}, {CO_T}, {CO_N}, {TR}, o as (select source, sum(n) as o from e group by 1), i as (select target, sum(n) as i from e group by 1), h as (select (select quantile_cont(o, 0.99) from o) as po, (select quantile_cont(i, 0.99) from i) as pi),
+            u as ({" union all ".join(f"select '{k}' as layer, source, target, {v} as weight from e" for k, v in layers.items())} union all select 'degree_adjusted', source, target, n / (1 + exp(greatest(-50, least(50, o / po + i / pi - 2)))) from e join o using (source) join i using (target), h
+            union all select 'trigger_response', a, b, w_trigger from tr union all select 'co_target', a, b, similarity from cot union all select 'co_negative_target', a, b, similarity from con)
+            \nSELECT * from u where round(weight, 9) <> 0""",
+            "weight",
+        ),
+        "coo_co_target": sql_rounded(f"with {E}, {CO_T}, {NODES}, m as (select x.node_id as row, y.node_id as col, similarity as data from cot join nd x on x.account = a join nd y on y.account = b)\nSELECT * from m union all select col, row, data from m", "data"),
+        "split_comments": f"select distinct {prefixed} as part, comment_id, substring(parent_id, 4) as parent from analyzed_comments where comment_id is not null and {prefixed} is not null",
+        "one_layout": "select comment_id, post_id, author, created_utc from analyzed_comments",
+        "row_window": "select doc_id, n_chars from (select doc_id, n_chars, row_number() over (order by doc_id) - 1 as p from documents) where p >= 100 and p < 250",
+        "work_left": "select doc_id, category from documents left join (select doc_id, min(category) as category from content_labels where doc_id is not null group by 1) using (doc_id)",
+        "work_sizes": f"with {P}, k as (select distinct comment_id from analyzed_comments where comment_id is not null and parent_type = 'post' and post_id in (select post_id from p)) select 'posts' as task, (select count(*) from p) as rows union all select 'comments', (select count(*) from k)",
+        "clamped_counts": "select distinct post_id, case when num_comments is null then -1 else greatest(0, least(100, round_even(num_comments / 4.0, 0)))::int end as quarter from posts",
         "group_discovery": sql_rounded(
             f"""with recursive {E}, {P}, {_R}, {CO_N}, {GROUPS}, {_FEATURES},
             tg as (select group_id, target, count(distinct account) as k, round(sum(w_opposed), 9) as ws from e join gm on gm.account = e.source group by 1, 2 having count(distinct account) >= 2),

@@ -125,14 +125,14 @@ QUERIES = {
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _STANCE = "case when lower(trim(feedback_label, ' ' || chr(9) || chr(10) || chr(13))) in (" + ", ".join(f"'{x}'" for x in LABELS) + ") then lower(trim(feedback_label, ' ' || chr(9) || chr(10) || chr(13))) else 'unclear' end"
-C0 = f"""c0 as (select comment_id, max(case when {sql_valid("source_author")} then {sql_name("source_author")} end) as source, max(case when {sql_valid("target_author")} then {sql_name("target_author")} end) as target,
-    min(post_id) as post_id, min(case when created_utc >= 1e9 and created_utc < 2e9 then created_utc end) as ts, min({_STANCE}) as label, min(feedback_score)::double as score0, min({sql_finite("edge_weight")}) as weight0, max(analysis_char_len) as chars
-    from analyzed_comments where comment_id is not null group by 1)"""
+C0 = f"""cr as (select comment_id, case when {sql_valid("source_author")} then {sql_name("source_author")} end as source, case when {sql_valid("target_author")} then {sql_name("target_author")} end as target,
+    post_id, case when created_utc >= 1e9 and created_utc < 2e9 then created_utc end as ts, {_STANCE} as label, feedback_score::double as score0, {sql_finite("edge_weight")} as weight0, analysis_char_len as chars
+    from analyzed_comments where comment_id is not null),
+c0 as (select * from cr qualify row_number() over (partition by comment_id order by source is null, target is null, ts is null, ts, label, score0 nulls first, weight0 nulls first, source, target, post_id nulls first, chars nulls first) = 1)"""
 C = C0 + """,
 c as (select comment_id, source, target, post_id, ts, label, coalesce(score0, weight0 * 100, 0) as score, coalesce(weight0, score0 / 100, 0) as weight, chars from c0 where source <> target)"""
-P = f"""p0 as (select post_id, max(case when {sql_valid("author")} then {sql_name("author")} end) as author, min(case when created_utc >= 1e9 and created_utc < 2e9 then created_utc end) as ts, max(num_comments) as num_comments,
-    min(title) as title, min(selftext) as selftext, min(analysis_text) as analysis_text from posts where post_id is not null group by 1),
-p as (select * from p0 where author is not null and ts is not null)"""
+P = f"""p as (select post_id, {sql_name("author")} as author, created_utc as ts, num_comments, title, selftext, analysis_text from posts where post_id is not null and {sql_valid("author")} and created_utc >= 1e9 and created_utc < 2e9
+    qualify row_number() over (partition by post_id order by created_utc, num_comments desc nulls last, title nulls first, selftext nulls first, analysis_text nulls first, {sql_name("author")}) = 1)"""
 _N = ", ".join(f"count(*) filter (label = '{x}') as n_{x}" for x in LABELS)
 _R = ", ".join(f"n_{x} / n as ratio_{x}" for x in LABELS)
 E = (

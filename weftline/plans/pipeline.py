@@ -39,6 +39,48 @@ def run(spark: SparkSession, folder: str, out: str, stages: dict | None = None)
     return counts
 
 
+def run_parallel(steps: dict, workers: int = 4) -> dict:
+    """Runs independent steps (name -> function without arguments) side by side, as jobs of one session.
+    All of them run to their end; then the failed ones are named in one error."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=max(1, workers)) as pool:
+        waiting = {name: pool.submit(step) for name, step in steps.items()}
+    failed = {name: f.exception() for name, f in waiting.items() if f.exception()}
+    if failed:
+        raise RuntimeError("failed: " + ", ".join(f"{n} ({type(e).__name__}: {e})" for n, e in failed.items())) from next(iter(failed.values()))
+    return {name: f.result() for name, f in waiting.items()}
+
+
+def work_sizes(spark: SparkSession, folder: str):
+    """(task, rows): posts to score, and comments that answer one of them directly."""
+    from weftline.sources.tables import table
+
+    p = interactions.posts(spark, folder)
+    c = table(spark, folder, "analyzed_comments").where((F.col("parent_type") == "post") & F.col("comment_id").isNotNull()).join(p.select("post_id"), "post_id", "left_semi").select("comment_id").distinct()
+    one = p.agg(F.lit("posts").alias("task"), F.count("*").alias("rows"))
+    return one.unionByName(c.agg(F.lit("comments").alias("task"), F.count("*").alias("rows")))
+
+
+def scoring_steps(df, order: list[str], score, path: str, start: int, end: int, workers: int) -> dict:
+    """Steps for run_parallel: rows ``start`` to ``end`` in balanced ranges, each scored by ``score`` (DataFrame to
+    DataFrame, any provider) and written to its own folder under ``path``."""
+    from weftline.sources.tables import row_range
+
+    def step(a: int, b: int):
+        return lambda: score(row_range(df, order, a, b)).write.mode("overwrite").parquet(f"{path}/rows={a}-{b}")
+
+    return {f"[{a}, {b})": step(a, b) for a, b in row_ranges(start, end, workers)}
+
+
+def full_back(spark: SparkSession, folder: str, out: str) -> dict[str, int]:
+    """The back half with discovery, group timing, ranking and baselines."""
+    from weftline.plans import discovery
+
+    more = {"group_discovery": discovery.group_discovery, "group_sync": discovery.group_sync, "final_groups": discovery.final_groups, "baselines": discovery.temporal_baselines}
+    return run(spark, folder, out, BACK | more)
+
+
 def threshold_sweep(spark: SparkSession, folder: str, thresholds: tuple[float, ...] = SWEEP):
     """Expansion at several layer thresholds, as one table."""
     from dataclasses import replace

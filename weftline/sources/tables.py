@@ -68,3 +68,55 @@ def resume(source: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What is done for keys of ``source``, and the untouched rest with nulls in the result columns."""
     kept = done.join(source.select(key).distinct(), key, "left_semi")
     return kept.unionByName(pending(source, done, key), allowMissingColumns=True)
+
+
+def one_layout(comments: DataFrame) -> DataFrame:
+    """(comment_id, post_id, author, created_utc) of either comment layout: with post_id, or with link_id,
+    whose prefix is taken off. Only the header decides; no row is read."""
+    have = set(comments.columns)
+    base = {"comment_id", "author", "created_utc"}
+    if base | {"post_id"} <= have:
+        post = F.col("post_id")
+    elif base | {"link_id"} <= have:
+        post = F.regexp_replace(F.col("link_id").cast("string"), "^t3_", "")
+    else:
+        raise ValueError("comments need comment_id, author, created_utc and post_id or link_id")
+    return comments.select("comment_id", post.alias("post_id"), "author", "created_utc")
+
+
+def merge_batches(spark: SparkSession, path: str | list[str], key: str, schema: str | None = None) -> DataFrame:
+    """All files of a glob with ``source_file``; of a repeated key the row of the last file (by name) stays."""
+    from weftline.operators.cleaning import keep_last
+
+    df = read_csv(spark, path, schema, source_file=True)
+    return keep_last(df, [key], ["source_file", *[c for c in df.columns if c not in (key, "source_file")]])
+
+
+def write_layers(layers: DataFrame, path: str) -> None:
+    """All layers of (layer, source, target, weight) in one pass, one folder each, without zero weights."""
+    layers.where(F.round("weight", 9) != 0).write.mode("overwrite").partitionBy("layer").parquet(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A small summary as JSON lines in one file."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def save_in_steps(source: DataFrame, path: str, key: str, work, every: int) -> int:
+    """Works off the rows of ``source`` that the table at ``path`` doesn't have yet, ``every`` rows at a time,
+    and appends each step when it is done, so a run that was broken off goes on where it was. Gives the
+    number of steps."""
+    spark = source.sparkSession
+    try:
+        left = pending(source, spark.read.parquet(path), key)
+    except Exception as e:  # nothing has been saved yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        left = source
+    from weftline.operators.ranking import global_index
+
+    rows = global_index(left, [key], "_at")
+    steps = -(-rows.count() // every)
+    for i in range(steps):
+        work(rows.where(F.floor(F.col("_at") / every) == i).drop("_at")).write.mode("append").parquet(path)
+    return steps
