@@ -31,3 +31,46 @@ def test_tag_similarity_shuffles_only_the_best(spark):
         fourth = -np.sort(-s, axis=1)[:, 3]
         want = {(i, j) for i in range(400) for j in range(400) if s[i, j] >= max(fourth[i], 0.75)}
         assert want <= {(r["query"], r["match"]) for r in got}
+
+
+@pytest.mark.parametrize(("shared", "top", "side"), [(2, 0, 10**6), (2, 3, 10**6), (2, 3, 50), (1, 2, 10**6), (3, 0, 10**6)])
+def test_whole_co_targets_against_brute_force(spark, shared, top, side):
+    """Two hubs of 260 and 230 sources, of which 200 each counted before."""
+    from weftline.operators import graph
+
+    rng = np.random.default_rng(5)
+    w = {(f"s{i:03}", "hub"): 1.0 + i % 3 for i in range(260)} | {(f"s{i:03}", "star"): 2.0 for i in range(230)}
+    w |= {(f"s{rng.integers(260):03}", f"t{rng.integers(30)}"): float(rng.integers(1, 4)) for _ in range(500)}
+    of = {}
+    for (s, t), x in w.items():
+        of.setdefault(s, {})[t] = x
+    norm = {s: sqrt(sum(x * x for x in p.values())) for s, p in of.items()}
+    pairs = {}
+    for a, b in combinations(sorted(of), 2):
+        both = of[a].keys() & of[b].keys()
+        sim = round(min(1.0, sum(of[a][t] * of[b][t] for t in both) / (norm[a] * norm[b])), 9)
+        if len(both) >= shared and sim >= 0.2:
+            pairs[a, b] = (len(both), sim)
+    if top:
+        near = {}
+        for (a, b), (_, sim) in pairs.items():
+            near.setdefault(a, []).append((-sim, b))
+            near.setdefault(b, []).append((-sim, a))
+        pairs = {(a, b): x for (a, b), x in pairs.items() if (-x[1], b) in sorted(near[a])[:top] or (-x[1], a) in sorted(near[b])[:top]}
+    e = spark.createDataFrame([(s, t, x) for (s, t), x in w.items()], "source string, target string, w double")
+    cfg = graph.Projection(0.2, top, shared, 0)
+    got = {(r.a, r.b): (r.shared, r.similarity) for r in graph.whole_co_targets(e, cfg, 10_000, side).collect()}
+    assert got == pairs and graph.co_targets(e, "w", cfg).count() == len(pairs) > 200
+
+
+@with_data
+@pytest.mark.parametrize("name", ["tiered_expansion"])
+def test_expansion_counts_all_sources(spark, name):
+    from tests.oracle import compare, duck
+    from weftline.plans import catalogue
+
+    folder = FOLDER.replace("sf0.001", "sf0.01")  # has targets of up to 300 sources
+    sql = catalogue.oracle_sql()[name]
+    assert "<= 200" not in sql
+    said = compare(spark, duck(folder), folder, name, catalogue.queries()[name], sql)
+    assert said.startswith("ok"), said
