@@ -64,7 +64,7 @@ def test_whole_co_targets_against_brute_force(spark, shared, top, side):
 
 
 @with_data
-@pytest.mark.parametrize("name", ["tiered_expansion", "induced_edges", "shared_with_seed"])
+@pytest.mark.parametrize("name", ["tiered_expansion", "induced_edges", "shared_with_seed", "expansion_sweep"])
 def test_expansion_counts_all_sources(spark, name):
     from tests.oracle import compare, duck
     from weftline.plans import catalogue
