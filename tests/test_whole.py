@@ -1,5 +1,6 @@
 """Results are whole: nothing that the job asks for is cut off."""
 
+import inspect
 import os
 from itertools import combinations
 
@@ -104,3 +105,11 @@ def test_top_accounts_ranks_a_hundred(spark, tmp_path):
     rows = [(f"u{i:03}", *[i / 200] * 6) for i in range(130)]
     write(spark.createDataFrame(rows, "user_id string, " + ", ".join(f"{c} double" for c in (*accounts.SIGNALS, "mca_score_primary", "mca_score_alt"))), tmp_path, "mca_scores")
     assert sorted(r.place for r in accounts.QUERIES["top_accounts"](spark, str(tmp_path)).collect()) == list(range(1, 101))
+
+
+def test_group_pairs_send_few_rows(spark):
+    """A group of 3,000 was sent 12 times over before, once for each block of 256."""
+    m = spark.createDataFrame([("g", f"x{i:04}") for i in range(3000)], "g string, x string")
+    plan = temporal.group_pairs(m, "g", "x")
+    assert plan.count() == 3000 * 2999 // 2 and plan.distinct().count() == 3000 * 2999 // 2
+    assert inspect.signature(temporal.group_pairs).parameters["block"].default >= 2048

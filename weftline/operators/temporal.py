@@ -20,18 +20,21 @@ class Windows:
     latest: int = 100  # comments per account; 0 for all
 
 
-def group_pairs(members: DataFrame, group: str, account: str, block: int = 256) -> DataFrame:
+def group_pairs(members: DataFrame, group: str, account: str, block: int = 2048) -> DataFrame:
     """(group, a, b) with a < b: all pairs within each group, however large.
 
-    The members of a group are cut into blocks of about ``block``; each block meets the whole group
-    in its own task, so the pairs of one large group are made in many places.
+    The members of a group are cut into blocks of about ``block``; each two blocks meet in their own
+    task, so the pairs of one large group are made in many places. A member is sent once for each
+    block of its group: at most one row for about ``block`` / 2 pairs.
     """
     n = shuffle_partitions(members.sparkSession)
     m = members.select(F.col(group).alias("grp"), F.col(account).alias("x")).distinct()
     m = m.join(m.groupBy("grp").agg(F.ceil(F.count("*") / block).alias("blocks")), "grp")
-    left = m.select("grp", F.pmod(F.xxhash64("x"), F.col("blocks")).alias("block"), F.col("x").alias("a")).repartition(n, "grp", "block")
-    right = m.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("x").alias("b")).repartition(n, "grp", "block")
-    return left.join(right, ["grp", "block"]).where(F.col("a") < F.col("b")).select("grp", "a", "b")
+    m = m.select("grp", "x", F.pmod(F.xxhash64("x"), F.col("blocks")).alias("own"), (F.col("blocks") - 1).alias("last"))
+    left = m.select("grp", F.col("own").alias("i"), F.explode(F.sequence("own", "last")).alias("j"), F.col("x").alias("a")).repartition(n, "grp", "i", "j")
+    right = m.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("i"), F.col("own").alias("j"), F.col("x").alias("b")).repartition(n, "grp", "i", "j")
+    met = left.join(right, ["grp", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))
+    return met.select("grp", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def group_timing(members: DataFrame, group: str, account: str, comments: DataFrame, cfg: Windows) -> DataFrame:
