@@ -74,3 +74,26 @@ def test_expansion_counts_all_sources(spark, name):
     assert "<= 200" not in sql
     said = compare(spark, duck(folder), folder, name, catalogue.queries()[name], sql)
     assert said.startswith("ok"), said
+
+
+def test_context_takes_any_number_of_queries(spark):
+    """It raised an error above 10,000 queries before."""
+    from weftline.operators import providers
+
+    q = spark.range(10_001).selectExpr("cast(id as int) id", "concat('fees rise on exchange', id % 7) text")
+    c = spark.createDataFrame([(f"c{i}", x) for i, x in enumerate(["exchange fees rise", "a wallet", "exchange fees rise", "12 34", "fees rise on"])], "cid string, chunk string")
+    rows = providers.context(q, c, "id", "text", "cid", "chunk", 2, 4_000).collect()
+    assert len(rows) == 20_002 and {r.place for r in rows} == {1, 2}
+    assert "c3" not in {r.cid for r in rows}
+
+
+def test_counts_are_the_hashed_terms(spark):
+    from weftline.operators import providers, text_features
+
+    t = spark.createDataFrame([("a", "Don't buy NOW, buy x2 İstanbul K9"), ("b", "1 2 3"), ("c", None), ("d", "buy now now")], "id string, text string")
+    want = {(r.id, r.bucket): r.weight for r in text_features.hashed_terms(t, "id", "text").collect()}
+    got = {}
+    for r in providers.counts(t, "id", "text", known=1).collect():
+        n = np.frombuffer(r.counts, np.int32)
+        got |= {(r.id, int(b)): n[b] / sqrt((n * n).sum()) for b in np.flatnonzero(n)}
+    assert got == want
